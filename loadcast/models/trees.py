@@ -156,39 +156,16 @@ def top_features(package: Package, spark: SparkSession, top: int | None = 5) ->
     return ranked if top is None else ranked.filter(F.col("posicao") <= top)
 
 
-@dataclass
-class NodeTable:
-    """A boosted model as flat arrays, small enough to travel with a task (rounds x 63 nodes)."""
-
-    names: list[str]
-    weights: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def predict(self, row: dict) -> float:
-        """Walk all trees at once: one step per level of depth."""
-        x = np.array([row[n] for n in self.names], dtype=float)
-        at = np.zeros(len(self.weights), dtype=int)
-        tree = np.arange(len(self.weights))
-        while True:
-            inner = self.left[tree, at] >= 0
-            if not inner.any():
-                return float(self.weights @ self.value[tree, at])
-            t, n = tree[inner], at[inner]
-            goes_left = x[self.feature[t, n]] <= self.threshold[t, n]
-            at[inner] = np.where(goes_left, self.left[t, n], self.right[t, n])
+NodeArrays = dict[str, np.ndarray]
 
 
-def node_table(spark: SparkSession, model_path: str, names: list[str]) -> NodeTable:
-    """Read the saved nodes of a fitted pipeline. Collects rounds x nodes rows, fixed by settings."""
+def node_arrays(spark: SparkSession, model_path: str) -> NodeArrays:
+    """Flat arrays (tree x node) of a saved model. Collects rounds x nodes rows, fixed by settings."""
     stage = f"{model_path}/stages/1_*"
     nodes = spark.read.parquet(f"{stage}/data").select("treeID", "nodeData.*").select(
         "treeID", "id", "prediction", "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("f"),
-        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("t")).toPandas()
+        F.col("split.featureIndex").alias("feature"),
+        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).toPandas()
     weights = spark.read.parquet(f"{stage}/treesMetadata").toPandas().sort_values("_1")["_3"]
     shape = (len(weights), int(nodes["id"].max()) + 1)
     tree, node = nodes["treeID"].to_numpy(), nodes["id"].to_numpy()
@@ -198,6 +175,25 @@ def node_table(spark: SparkSession, model_path: str, names: list[str]) -> NodeTa
         out[tree, node] = nodes[column].fillna(fill).to_numpy()
         return out
 
-    return NodeTable(names, weights.to_numpy(), grid("f", 0, int), grid("t", 0.0, float),
-                     grid("leftChild", -1, int), grid("rightChild", -1, int),
-                     grid("prediction", 0.0, float))
+    return {"weights": weights.to_numpy(), "feature": grid("feature", 0, int),
+            "threshold": grid("threshold", 0.0, float), "left": grid("leftChild", -1, int),
+            "right": grid("rightChild", -1, int), "value": grid("prediction", 0.0, float)}
+
+
+def node_walker():
+    """A function of (arrays, inputs) that walks all trees at once, one step per level of depth.
+
+    Returned as a closure so that it travels to the tasks by value.
+    """
+    def walk(arrays, x):
+        weights, left, right = arrays["weights"], arrays["left"], arrays["right"]
+        at = np.zeros(len(weights), dtype=int)
+        tree = np.arange(len(weights))
+        while True:
+            inner = left[tree, at] >= 0
+            if not inner.any():
+                return float(weights @ arrays["value"][tree, at])
+            t, n = tree[inner], at[inner]
+            goes_left = x[arrays["feature"][t, n]] <= arrays["threshold"][t, n]
+            at[inner] = np.where(goes_left, left[t, n], right[t, n])
+    return walk

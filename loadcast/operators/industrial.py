@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.text import label_upper, lookup
 from loadcast.operators.quality import keep_last
-from loadcast.operators.series import BY_SUB
+from loadcast.operators.series import by_sub
 from loadcast.schema import (DAY, HOURS_PER_DAY, LEVEL_INPUT, NATIONAL,
                              PUBLICATION_LAG_MONTHS, SUB)
 
@@ -111,7 +111,7 @@ def with_national_level(levels: DataFrame) -> DataFrame:
 
 def annual_change(levels: DataFrame, rows: int = 365) -> DataFrame:
     """Percent change against the row one year earlier; zero where there is none."""
-    before = F.lag(LEVEL_INPUT, rows).over(BY_SUB)
+    before = F.lag(LEVEL_INPUT, rows).over(by_sub())
     change = F.try_divide(F.col(LEVEL_INPUT), before) - 1
     return levels.withColumn("industrial_var_anual", F.coalesce(change * 100, F.lit(0.0)))
 

@@ -5,16 +5,19 @@ These run on day x region tables, whose groups are bounded by the calendar, neve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loadcast.schema import DAY, LOAD, SUB
 
-BY_SUB = Window.partitionBy(SUB).orderBy(DAY)
 
+def by_sub() -> WindowSpec:
+    return Window.partitionBy(SUB).orderBy(DAY)
 
-def fill_both_ways(column: Column, window=BY_SUB) -> Column:
+
+def fill_both_ways(column: Column) -> Column:
     """Carry the last known value forward, then the first known one back."""
+    window = by_sub()
     past = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     future = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return F.coalesce(F.last(column, ignorenulls=True).over(past),
@@ -22,13 +25,13 @@ def fill_both_ways(column: Column, window=BY_SUB) -> Column:
 
 
 def load_lags(df: DataFrame) -> DataFrame:
-    return df.withColumns({"carga_ontem": F.lag(LOAD, 1).over(BY_SUB),
-                           "carga_lag7": F.lag(LOAD, 7).over(BY_SUB)})
+    return df.withColumns({"carga_ontem": F.lag(LOAD, 1).over(by_sub()),
+                           "carga_lag7": F.lag(LOAD, 7).over(by_sub())})
 
 
 def trailing_mean(df: DataFrame, rows: int = 7) -> DataFrame:
     """Mean of the previous rows, today excluded; null unless all of them have a value."""
-    frame = BY_SUB.rowsBetween(-rows, -1)
+    frame = by_sub().rowsBetween(-rows, -1)
     mean = F.when(F.count(LOAD).over(frame) == rows, F.avg(LOAD).over(frame))
     return df.withColumn("media_7d", mean)
 
@@ -41,8 +44,8 @@ def thermal_inertia(df: DataFrame) -> DataFrame:
     """Daily range, three-row mean of cooling degrees and yesterday's mean temperature."""
     return df.withColumns({
         "amplitude_termica": F.col("temp_max") - F.col("temp_min"),
-        "graus_refrig_med3": F.avg("graus_refrig").over(BY_SUB.rowsBetween(-2, 0)),
-        "temp_mean_ontem": F.lag("temp_mean", 1).over(BY_SUB),
+        "graus_refrig_med3": F.avg("graus_refrig").over(by_sub().rowsBetween(-2, 0)),
+        "temp_mean_ontem": F.lag("temp_mean", 1).over(by_sub()),
     })
 
 

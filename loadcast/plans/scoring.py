@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.models.trees import MISSING_FLAG, Package, fill_missing, node_table
+from loadcast.models.trees import MISSING_FLAG, Package, fill_missing, node_arrays, node_walker
 from loadcast.operators.metrics import (MODE, PRED, baseline_predictions, bottom_up, class_gain,
                                         forecast_metrics)
 from loadcast.operators.recursive import recursive_forecast
@@ -20,12 +21,17 @@ def recursive_with_trees(spark: SparkSession, package: Package, model_folder: st
                          test: DataFrame) -> DataFrame:
     """Recursive forecast of the delta model; its trees travel to the tasks as flat arrays."""
     names = [*package.features, MISSING_FLAG]
-    tables = {r: node_table(spark, f"{model_folder}/{package.mode}_{r}", names) for r in package.trees}
-    shared = spark.sparkContext.broadcast(tables)       # rounds x nodes x regions, fixed by settings
+    trees = {r: node_arrays(spark, f"{model_folder}/{package.mode}_{r}") for r in package.trees}
+    shared = spark.sparkContext.broadcast(trees)        # rounds x nodes x regions, fixed by settings
+    walk = node_walker()
+
+    def step(region, row):
+        inputs = np.array([row[n] for n in names], dtype=float)
+        return row["carga_ontem"] + walk(shared.value[region], inputs)
+
     exogenous = [c for c in package.features if c not in AUTOREGRESSIVE]
-    filled = fill_missing(test, package.fills, exogenous).filter(F.col(SUB).isin(list(package.trees)))
-    return recursive_forecast(filled, [*exogenous, MISSING_FLAG],
-                              lambda region, row: row["carga_ontem"] + shared.value[region].predict(row))
+    filled = fill_missing(test, package.fills, exogenous).filter(F.col(SUB).isin(list(trees)))
+    return recursive_forecast(filled, [*exogenous, MISSING_FLAG], step)
 
 
 def score(predictions: DataFrame, summed_modes: list[str]) -> DataFrame:
