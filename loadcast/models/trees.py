@@ -59,16 +59,24 @@ class Package:
 
     def decompose(self, df: DataFrame) -> DataFrame:
         """Adds level, climate response and their sum; in delta modes yesterday and the change."""
-        prepared = self.prepare(df)
         base = F.col(LEVEL) if self.mode == "climatico" else F.col("carga_ontem")
-        parts = [model.transform(prepared.filter(F.col(SUB) == region)).drop("features")
-                 for region, model in self.trees.items()]
-        scored = parts[0]
-        for part in parts[1:]:
-            scored = scored.unionByName(part)
-        return (scored.withColumn(RESPONSE, F.col("arvores"))
-                .withColumn(FORECAST, base + F.col("arvores"))
-                .drop("arvores", MISSING_FLAG))
+        return (self.score(self.prepare(df).filter(F.col(SUB).isin(list(self.trees))))
+                .withColumn(FORECAST, base + F.col(RESPONSE)))
+
+    def score(self, prepared: DataFrame) -> DataFrame:
+        """One pass over the rows, whatever the number of regions.
+
+        Each region's model adds its own column to the same plan. Every such column is used once,
+        inside the branch of its region, so a row is scored only by its own region's trees.
+        """
+        columns = prepared.columns
+        assembler = next(iter(self.trees.values())).stages[0]
+        scored, response = assembler.transform(prepared), F.lit(None).cast("double")
+        for region, model in self.trees.items():
+            output = f"arvores_{region}"
+            scored = model.stages[-1].copy().setPredictionCol(output).transform(scored)
+            response = F.when(F.col(SUB) == region, F.col(output)).otherwise(response)
+        return scored.select(*[c for c in columns if c != MISSING_FLAG], response.alias(RESPONSE))
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.decompose(df).withColumnRenamed(FORECAST, PRED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loadcast.operators.quality import keep_last
 from loadcast.operators.series import fill_both_ways
 from loadcast.schema import CLIMATE_INPUTS, CLIMATOLOGY_WINDOW, DAY, SUB
+from loadcast.session import settle
 
 DOY = "dia_ano"
 
@@ -77,12 +78,14 @@ def complete_period(inputs: DataFrame, normal: DataFrame, order: list[str],
     """
     cols = _inputs_in(normal)
     given = [c for c in cols if c in inputs.columns]
-    bounds = period_bounds(inputs, since, until)
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    # collapse duplicates in one pass over the raw inputs and keep the result: what follows reads
+    # at most one row per region and day, several times
+    extra = [c for c in order if c not in (SUB, DAY, *given)]
+    supplied = settle(keep_last(inputs.select(SUB, DAY, *given, *extra), [SUB, DAY], order)
+                      .select(SUB, DAY, *[F.col(c).alias(f"u_{c}") for c in given]))
+    span = period_bounds(supplied, since, until).select(F.struct("lo", "hi")).scalar()
+    lo, hi = span["lo"], span["hi"]
     hi = F.when(hi < lo, F.raise_error(F.lit("the last day is before the first")).cast("date")).otherwise(hi)
-    # collapse duplicates first: what follows is at most one row per region and day
-    supplied = keep_last(inputs.select(SUB, DAY, *given, *[c for c in order if c not in given]),
-                         [SUB, DAY], order).select(SUB, DAY, *[F.col(c).alias(f"u_{c}") for c in given])
     regions = supplied.select(SUB).distinct()
     grid = daily_grid(regions, lo, hi).withColumn(DOY, F.dayofyear(DAY))
     filled = (grid.join(climatology_with_fallback(normal, regions), [SUB, DOY], "left")

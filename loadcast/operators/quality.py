@@ -28,6 +28,8 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     a key with very many copies never reaches a single task whole.
     """
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     chosen = F.max_by(F.struct(*rest), F.struct(*order)).alias("_kept")
     kept = df.groupBy(*keys).agg(chosen)
     return kept.select(*[F.col(c) if c in keys else F.col("_kept")[c].alias(c)

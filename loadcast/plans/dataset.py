@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.functions.calendar import calendar_features
@@ -12,12 +12,17 @@ from loadcast.operators.series import autoregressive_features, thermal_inertia
 from loadcast.schema import DAY, PUBLICATION_LAG_MONTHS, SUB
 
 
+def day_bounds(rows: DataFrame) -> tuple[Column, Column]:
+    """First and last day of a table as scalar subqueries over one shared aggregate."""
+    span = rows.agg(F.struct(F.min(DAY).alias("lo"), F.max(DAY).alias("hi"))).scalar()
+    return span["lo"], span["hi"]
+
+
 def panel(load: DataFrame, climate: DataFrame, monthly: DataFrame,
           lag_months: int = PUBLICATION_LAG_MONTHS, mode: str = "linear",
           run_up_days: int = 0) -> DataFrame:
     """Load with climate and industrial level; load days without a match are kept."""
-    first_day, last_day = load.agg(F.min(DAY)).scalar(), load.agg(F.max(DAY)).scalar()
-    industrial = industrial_daily(monthly, first_day, last_day, lag_months, mode, run_up_days)
+    industrial = industrial_daily(monthly, *day_bounds(load), lag_months, mode, run_up_days)
     return load.join(climate, [SUB, DAY], "left").join(industrial, [SUB, DAY], "left")
 
 

@@ -12,6 +12,7 @@ from loadcast.models.trees import Package
 from loadcast.operators.grid import complete_period, seed_missing
 from loadcast.operators.industrial import industrial_daily
 from loadcast.operators.reports import temperature_sweep, with_region_name
+from loadcast.plans.dataset import day_bounds
 from loadcast.schema import (CLIMATE_INPUTS, DAY, HOT_HOUR, INDUSTRIAL, PUBLICATION_LAG_MONTHS,
                              REGIONS, RUN_UP_DAYS, SUB)
 
@@ -37,8 +38,7 @@ def fill_region_median(inputs: DataFrame, medians: DataFrame) -> DataFrame:
 def serving_industrial(inputs: DataFrame, monthly: DataFrame,
                        lag_months: int = PUBLICATION_LAG_MONTHS) -> DataFrame:
     """Industrial level and annual change over the asked dates, with a run-up of 400 days."""
-    first_day, last_day = inputs.agg(F.min(DAY)).scalar(), inputs.agg(F.max(DAY)).scalar()
-    return industrial_daily(monthly, first_day, last_day, lag_months, run_up_days=RUN_UP_DAYS)
+    return industrial_daily(monthly, *day_bounds(inputs), lag_months, run_up_days=RUN_UP_DAYS)
 
 
 def serving_features(inputs: DataFrame, medians: DataFrame, monthly: DataFrame,

@@ -80,8 +80,7 @@ def load_scan(spark, sf):
 
 @query()
 def csv_br_format(spark, sf):
-    days = load_days(spark, sf).select(SUB, DAY, F.round(LOAD, 2).alias(LOAD))
-    return brazilian_text(days)
+    return brazilian_text(load_days(spark, sf))
 
 
 # user input
@@ -188,8 +187,7 @@ def sheet_blocks(spark, sf):
 
 
 def load_bounds(spark, sf):
-    days = load_days(spark, sf)
-    return days.agg(F.min(DAY)).scalar(), days.agg(F.max(DAY)).scalar()
+    return dataset.day_bounds(load_days(spark, sf))
 
 
 @query()
@@ -335,9 +333,9 @@ def daily_grid(spark, sf):
 
 def supplied_days(spark, sf):
     """First quarter of the test year, one row per station and day, with some cells left empty."""
-    days = station_day(v.readings_from_lineitem(spark, sf), [STATION], min_readings=1)
-    quarter = days.filter((F.year(DAY) == v.TEST_YEAR) & (F.quarter(DAY) == 1))
-    coded = map_station_region(quarter.join(v.supplier_codes(spark, sf), STATION))
+    quarter = v.readings_from_lineitem(spark, sf, f"{v.TEST_YEAR}-01-01", f"{v.TEST_YEAR}-04-01")
+    days = station_day(quarter, [STATION], min_readings=1)
+    coded = map_station_region(days.join(v.supplier_codes(spark, sf), STATION))
     return coded.select(SUB, DAY, STATION,
                         F.when(F.dayofmonth(DAY) % 5 != 0, F.col("temp_mean")).alias("temp_mean"),
                         "umid_mean")
@@ -461,7 +459,7 @@ def monthly_profile(spark, sf):
     return reports.monthly_profile(level_days(spark, sf))
 
 
-@query()
+@query(8)
 def season_context(spark, sf):
     return reports.season_context(test_rows(spark, sf), train_rows(spark, sf))
 

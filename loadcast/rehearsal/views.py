@@ -1,7 +1,7 @@
 """Demand, climate and activity tables derived from the star-schema test tables.
 
-Every view reads its whole source table. Money is summed as integer cents, so results do not
-depend on the order in which partial sums meet.
+Every view reads its whole source table. Amounts are summed as whole numbers and scaled by powers of
+two, so sums are exact and do not depend on the order in which partial results meet.
 """
 
 from __future__ import annotations
@@ -53,16 +53,24 @@ def load_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = nation_codes(spark, sf_dir)
     folded = (orders.groupBy(F.col("o_custkey").alias("c_custkey"),
                              F.to_date("o_orderdate").alias(DAY))
-              .agg(F.sum(cents(F.col("o_totalprice"))).alias("cents")))
+              .agg(F.sum(F.round("o_totalprice").cast("long")).alias("total")))
     coded = (customer.join(nations, customer.c_nationkey == nations.n_nationkey)
              .select("c_custkey", "regiao_estacao"))
     return (map_station_region(folded.join(coded, "c_custkey"))
-            .groupBy(SUB, DAY).agg((F.sum("cents") / 100000.0).alias(LOAD)))
+            .groupBy(SUB, DAY).agg((F.sum("total") / 1024.0).alias(LOAD)))
 
 
-def readings_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line item read as one sensor reading of its supplier's station on its ship day."""
+def readings_from_lineitem(spark: SparkSession, sf_dir: str, since: str | None = None,
+                           until: str | None = None) -> DataFrame:
+    """Each line item read as one sensor reading of its supplier's station on its ship day.
+
+    A period is cut on the raw ship time, so that the scan skips row groups outside it.
+    """
     item = read(spark, sf_dir, "lineitem")
+    if since:
+        item = item.filter(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
+    if until:
+        item = item.filter(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
     quantity = F.col("l_quantity")
     return item.select(
         F.col("l_suppkey").alias(STATION), F.to_date("l_shipdate").alias(DAY),
@@ -89,9 +97,9 @@ def monthly_industrial(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = F.to_date("l_shipdate")
     folded = (item.groupBy(F.col("l_suppkey").alias(STATION), F.year(ship).alias("ano"),
                            F.month(ship).alias("mes"))
-              .agg(F.sum(cents(F.col("l_extendedprice"))).alias("cents")))
+              .agg(F.sum(F.round("l_extendedprice").cast("long")).alias("total")))
     coded = map_station_region(folded.join(supplier_codes(spark, sf_dir), STATION))
-    return coded.groupBy("ano", "mes", SUB).agg((F.sum("cents") / 100.0).alias("industrial_mwh"))
+    return coded.groupBy("ano", "mes", SUB).agg(F.sum("total").cast("double").alias("industrial_mwh"))
 
 
 def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +107,13 @@ def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     station = (F.col("user_id") % 12).cast("int")
     code = F.element_at(F.array(*[F.lit(c) for c in ("N", "NE", "S", "SE", "CO")]), station % 5 + 1)
-    value = F.col("value")
+    value = F.round("value")
     return events.select(
         "event_id", F.to_date("ts").alias(DAY), station.alias(STATION),
         code.alias("regiao_estacao"), F.col("event_type").alias("arquivo"),
         (value / 2).alias("temp"),
         F.regexp_extract("props", "([0-9]+)", 1).try_cast("double").alias("umid"),
-        (value * 10).alias("rad"), (value / 10).alias("vento"),
+        (value * 10).alias("rad"), (value / 8).alias("vento"),
         F.when(F.col("event_type") == "error", value).alias("precip"))
 
 

@@ -40,6 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small result once and keep it in the shared folder, cutting its lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 class TableStore:
     """Write-once tables of this application, kept as Parquet in the shared folder.
 
