@@ -87,7 +87,7 @@ def table(name: str, needs: str, text: str) -> None:
 
 table("carga", "", f"""
 SELECT {SUB_OF_REGION} AS id_subsistema, CAST(o_orderdate AS DATE) AS din_instante,
-       CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS DOUBLE) / 1024 AS {LOAD}
+       CAST(sum(CAST(round(o_totalprice / 100) AS BIGINT)) AS DOUBLE) AS {LOAD}
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 
@@ -328,8 +328,8 @@ SELECT t.id_subsistema, t.dia_ano, h.{LOAD} AS y, h.temp_mean
 FROM (SELECT DISTINCT id_subsistema, CAST(dayofyear(din_instante) AS INTEGER) AS dia_ano FROM teste) t
 JOIN treino h ON h.id_subsistema = t.id_subsistema AND abs(dayofyear(h.din_instante) - t.dia_ano) <= 10""")
 table("contexto", "pares_estacao", """
-SELECT id_subsistema, dia_ano, avg(y) AS carga_media, min(y) AS carga_min, max(y) AS carga_max,
-       avg(temp_mean) AS temp_media, count(*) AS n_dias FROM pares_estacao GROUP BY 1, 2""")
+SELECT id_subsistema, dia_ano, sum(y) / count(y) AS carga_media, min(y) AS carga_min, max(y) AS carga_max,
+       sum(temp_mean) / count(temp_mean) AS temp_media, count(*) AS n_dias FROM pares_estacao GROUP BY 1, 2""")
 
 ORACLES: dict[str, str] = {}
 

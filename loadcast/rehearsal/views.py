@@ -1,7 +1,7 @@
 """Demand, climate and activity tables derived from the star-schema test tables.
 
-Every view reads its whole source table. Amounts are summed as whole numbers and scaled by powers of
-two, so sums are exact and do not depend on the order in which partial results meet.
+Every view reads its whole source table. Amounts are summed as whole numbers, so sums are exact and
+do not depend on the order in which partial results meet.
 """
 
 from __future__ import annotations
@@ -53,11 +53,11 @@ def load_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = nation_codes(spark, sf_dir)
     folded = (orders.groupBy(F.col("o_custkey").alias("c_custkey"),
                              F.to_date("o_orderdate").alias(DAY))
-              .agg(F.sum(F.round("o_totalprice").cast("long")).alias("total")))
+              .agg(F.sum(F.round(F.col("o_totalprice") / 100).cast("long")).alias("total")))
     coded = (customer.join(nations, customer.c_nationkey == nations.n_nationkey)
              .select("c_custkey", "regiao_estacao"))
     return (map_station_region(folded.join(coded, "c_custkey"))
-            .groupBy(SUB, DAY).agg((F.sum("total") / 1024.0).alias(LOAD)))
+            .groupBy(SUB, DAY).agg(F.sum("total").cast("double").alias(LOAD)))
 
 
 def readings_from_lineitem(spark: SparkSession, sf_dir: str, since: str | None = None,
