@@ -35,24 +35,34 @@ def localized_number(text: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """A date from integers, null for a day that does not exist. Bad input never raises."""
+    plausible = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
+    month_end = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(plausible, F.when(day <= month_end, F.make_date(year, month, day)))
+
+
 def user_date(text: Column) -> Column:
     """Day-first slash, dash or dot dates, and ISO dates, each with an optional time; else null.
 
     ISO text stays year-month-day: it is never read day-first.
     """
-    day = F.regexp_extract(F.trim(text), "^(\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4})([ T].*)?$", 1)
-    day = F.regexp_replace(day, "[/.]", "-")
-    year_first = F.try_to_timestamp(day, F.lit("y-M-d"))
-    day_first = F.try_to_timestamp(day, F.lit("d-M-y"))
-    return (F.when(day.rlike("^\\d{4}-"), year_first)
-            .when(day.rlike("-\\d{4}$"), day_first)
-            .cast("date"))
+    bare = F.substring_index(F.substring_index(F.trim(text), " ", 1), "T", 1)
+    parts = F.split(F.translate(bare, "/.", "--"), "-")
+    first, second, third = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
+    year_first = F.length(first) == 4
+    whole = (F.size(parts) == 3) & (year_first | (F.length(third) == 4))
+    number = lambda part: part.try_cast("int")
+    return F.when(whole, calendar_date(F.when(year_first, number(first)).otherwise(number(third)),
+                                       number(second),
+                                       F.when(year_first, number(third)).otherwise(number(first))))
 
 
 def station_date(text: Column) -> Column:
     """Station files write yyyy/MM/dd or yyyy-MM-dd."""
-    return F.try_to_timestamp(F.replace(F.trim(text), F.lit("/"), F.lit("-")),
-                              F.lit("y-M-d")).cast("date")
+    parts = F.split(F.translate(F.trim(text), "/", "-"), "-")
+    year, month, day = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    return F.when(F.size(parts) == 3, calendar_date(year, month, day))
 
 
 def decimal_comma(number: Column) -> Column:

@@ -355,8 +355,9 @@ LEVEL3 = 3
 oracle("load_scan", "carga", f"""
 SELECT {KEY}, CASE id_subsistema WHEN 'N' THEN 'Norte' WHEN 'NE' THEN 'Nordeste' WHEN 'S' THEN 'Sul'
        ELSE 'Sudeste/Centro-Oeste' END AS nom_subsistema, {r(LOAD)} FROM carga""")
-oracle("csv_br_format", "carga",
-       f"SELECT {KEY}, replace(CAST({LOAD} AS VARCHAR), '.', ',') AS {LOAD} FROM carga")
+oracle("csv_br_format", "clima", f"""
+SELECT {KEY}, replace(CAST(round(temp_mean, 4) AS VARCHAR), '.', ',') AS temp_mean,
+       replace(CAST(rad_sum AS VARCHAR), '.', ',') AS rad_sum FROM clima""")
 oracle("normalize_label", "usuario", """
 SELECT o_orderkey, upper(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS maiuscula,
        lower(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS minuscula FROM usuario""")

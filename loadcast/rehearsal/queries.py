@@ -80,7 +80,8 @@ def load_scan(spark, sf):
 
 @query()
 def csv_br_format(spark, sf):
-    return brazilian_text(load_days(spark, sf))
+    climate = v.climate_table(spark, sf)
+    return brazilian_text(climate.select(SUB, DAY, F.round("temp_mean", 4).alias("temp_mean"), "rad_sum"))
 
 
 # user input

@@ -18,6 +18,8 @@ def build_session(app: str = "loadcast", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the JVM does not compile larger generated methods; Spark then splits the stage instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -40,8 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a small result once and keep it in the shared folder, cutting its lineage."""
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Compute a small result once and keep it in the shared folder, cutting its lineage.
+
+    With ``by`` it is written as a table with one folder per value, so that a reader of one value
+    opens only its own files.
+    """
+    if by:
+        path = f"{shared_folder(df.sparkSession)}/loadcast/settled-{uuid.uuid4().hex}"
+        df.repartition(by).write.partitionBy(by).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
