@@ -15,6 +15,7 @@ from loadcast.operators.reports import temperature_sweep, with_region_name
 from loadcast.plans.dataset import day_bounds
 from loadcast.schema import (CLIMATE_INPUTS, DAY, HOT_HOUR, INDUSTRIAL, PUBLICATION_LAG_MONTHS,
                              REGIONS, RUN_UP_DAYS, SUB)
+from loadcast.session import settle
 
 
 def unknown_regions(inputs: DataFrame) -> DataFrame:
@@ -41,13 +42,22 @@ def serving_industrial(inputs: DataFrame, monthly: DataFrame,
     return industrial_daily(monthly, *day_bounds(inputs), lag_months, run_up_days=RUN_UP_DAYS)
 
 
+def require_known_regions(inputs: DataFrame) -> None:
+    """Raise if a row names no known region. Runs one job over the region column."""
+    labels = [r[0] for r in unknown_regions(inputs).limit(5).collect()]
+    if labels:
+        raise ValueError(f"unknown region: {labels}; use one of {REGIONS}")
+
+
 def serving_features(inputs: DataFrame, medians: DataFrame, monthly: DataFrame,
-                     lag_months: int = PUBLICATION_LAG_MONTHS) -> DataFrame:
-    """All features from a minimal input: region, date and whatever climate is known."""
-    code = F.col(SUB)
-    checked = inputs.withColumn(SUB, F.when(code.isin(REGIONS), code).otherwise(
-        F.raise_error(F.concat(F.lit("unknown region: "), F.coalesce(code, F.lit("null"))))))
-    df = fill_region_median(checked, medians)
+                     lag_months: int = PUBLICATION_LAG_MONTHS, validated: bool = False) -> DataFrame:
+    """All features from a minimal input: region, date and whatever climate is known.
+
+    ``validated`` inputs, such as those of ``normalize_inputs``, skip the region check.
+    """
+    if not validated:
+        require_known_regions(inputs)
+    df = fill_region_median(inputs, medians)
     mean = F.col("temp_mean")
     df = df.withColumns({"temp_max": coherent_max(F.col("temp_max"), mean),
                          "temp_min": coherent_min(F.col("temp_min"), mean)})
@@ -69,12 +79,12 @@ def serving_features(inputs: DataFrame, medians: DataFrame, monthly: DataFrame,
 
 
 def forecast(inputs: DataFrame, package: Package, medians: DataFrame, monthly: DataFrame,
-             lag_months: int = PUBLICATION_LAG_MONTHS) -> DataFrame:
+             lag_months: int = PUBLICATION_LAG_MONTHS, validated: bool = False) -> DataFrame:
     """Forecast with its decomposition and the region's name.
 
     A row id column, if the inputs have one, is carried through for restoring their order.
     """
-    features = serving_features(inputs, medians, monthly, lag_months)
+    features = serving_features(inputs, medians, monthly, lag_months, validated)
     return with_region_name(package.decompose(features))
 
 
@@ -96,7 +106,8 @@ def year_inputs(year: int, wanted: DataFrame, normal: DataFrame,
 def project_year(year: int, wanted: DataFrame, normal: DataFrame, package: Package,
                  medians: DataFrame, monthly: DataFrame,
                  climate: DataFrame | None = None) -> DataFrame:
-    return forecast(year_inputs(year, wanted, normal, climate), package, medians, monthly)
+    # the completed year is small: compute it once, then read it for its bounds and its rows
+    return forecast(settle(year_inputs(year, wanted, normal, climate)), package, medians, monthly)
 
 
 def response_curve(scenarios: DataFrame, history: DataFrame, package: Package, medians: DataFrame,

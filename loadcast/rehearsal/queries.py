@@ -378,7 +378,7 @@ def order_inputs(spark, sf):
 @query()
 def serving_features(spark, sf):
     rows = serving.serving_features(order_inputs(spark, sf), v.medians_table(spark, sf),
-                                    v.industrial_table(spark, sf))
+                                    v.industrial_table(spark, sf), validated=True)
     return rows.select("o_orderkey", SUB, DAY, *CLIMATE_INPUTS, "is_feriado", "dia_semana",
                        "graus_refrig", "graus_aquec", "horas_acima_26", "amplitude_termica",
                        "graus_refrig_med3", "temp_mean_ontem", *INDUSTRIAL)
@@ -667,7 +667,7 @@ def permutation_importance(spark, sf):
 def batch_forecast(spark, sf):
     """A forecast for every accepted user row."""
     rows = serving.forecast(order_inputs(spark, sf), package(spark, sf, "climatico"),
-                            v.medians_table(spark, sf), v.industrial_table(spark, sf))
+                            v.medians_table(spark, sf), v.industrial_table(spark, sf), validated=True)
     return rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS)
 
 
