@@ -94,8 +94,12 @@ class Package:
         return spark.createDataFrame(rows, f"{SUB} string, atributo string, importancia double")
 
     def save(self, path: str) -> None:
-        for region, model in self.trees.items():
+        def write(item):
+            region, model = item
             model.write().overwrite().save(f"{path}/{self.mode}_{region}")
+
+        with ThreadPoolExecutor(len(self.trees)) as pool:
+            list(pool.map(write, self.trees.items()))
         self.level.write.mode("overwrite").parquet(f"{path}/{self.mode}_level")
         self.fills.select(SUB, *fillable(self.features)).write.mode("overwrite").parquet(
             f"{path}/{self.mode}_fills")
@@ -147,12 +151,14 @@ def fit_package(mode: str, train: DataFrame, regions: list[str], parallelism: in
 
 
 def load_package(spark: SparkSession, path: str, mode: str, regions: list[str]) -> Package:
-    trees = {}
-    for region in regions:
+    def load(region: str) -> PipelineModel:
         try:
-            trees[region] = PipelineModel.load(f"{path}/{mode}_{region}")
+            return PipelineModel.load(f"{path}/{mode}_{region}")
         except Exception as error:
             raise MissingModel(f"no fitted model for {mode}/{region} in {path}") from error
+
+    with ThreadPoolExecutor(len(regions)) as pool:
+        trees = dict(zip(regions, pool.map(load, regions)))
     level = spark.read.parquet(f"{path}/{mode}_level")
     fills = spark.read.parquet(f"{path}/{mode}_fills")
     features = [c for c in next(iter(trees.values())).stages[0].getInputCols() if c != MISSING_FLAG]

@@ -327,10 +327,21 @@ table("pares_estacao", "teste treino", f"""
 SELECT t.id_subsistema, t.dia_ano, h.{LOAD} AS y, h.temp_mean
 FROM (SELECT DISTINCT id_subsistema, CAST(dayofyear(din_instante) AS INTEGER) AS dia_ano FROM teste) t
 JOIN treino h ON h.id_subsistema = t.id_subsistema AND abs(dayofyear(h.din_instante) - t.dia_ano) <= 10""")
-table("contexto", "pares_estacao", """
+table("perto", "pares_estacao", """
 SELECT id_subsistema, dia_ano, sum(y) / count(y) AS carga_media, min(y) AS carga_min, max(y) AS carga_max,
        sum(temp_mean) / count(temp_mean) AS temp_media, count(*) AS n_dias FROM pares_estacao GROUP BY 1, 2""")
 
+# without any day near by, the whole history of the region stands in
+table("contexto", "perto teste treino", f"""
+SELECT * FROM perto UNION ALL BY NAME
+SELECT t.id_subsistema, t.dia_ano, sum(h.{LOAD}) / count(h.{LOAD}) AS carga_media, min(h.{LOAD}) AS carga_min,
+       max(h.{LOAD}) AS carga_max, sum(h.temp_mean) / count(h.temp_mean) AS temp_media,
+       CASE WHEN count(h.din_instante) > 0 THEN count(h.din_instante) END AS n_dias
+FROM (SELECT DISTINCT id_subsistema, CAST(dayofyear(din_instante) AS INTEGER) AS dia_ano FROM teste) t
+LEFT JOIN treino h ON h.id_subsistema = t.id_subsistema
+WHERE NOT EXISTS (SELECT 1 FROM perto p WHERE p.id_subsistema = t.id_subsistema AND p.dia_ano = t.dia_ano)
+GROUP BY 1, 2""")
+
 ORACLES: dict[str, str] = {}
 
 
