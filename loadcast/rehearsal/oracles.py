@@ -93,7 +93,7 @@ JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 
 table("item", "", f"""
 SELECT l_suppkey AS estacao, {SUB_OF_REGION} AS id_subsistema, CAST(l_shipdate AS DATE) AS din_instante,
-       15 + l_quantity / 2 AS temp, CAST(40 + 5 * CAST(round(l_discount * 100) AS BIGINT) AS DOUBLE) AS umid,
+       15 + l_quantity * CAST('0.5772156649015329' AS DOUBLE) AS temp, CAST(40 + 5 * CAST(round(l_discount * 100) AS BIGINT) AS DOUBLE) AS umid,
        round(l_extendedprice / 100) AS rad, round(l_tax * 100) AS vento,
        CASE WHEN l_returnflag = 'R' THEN l_quantity END AS precip,
        CAST(round(l_extendedprice) AS BIGINT) AS valor
@@ -453,6 +453,20 @@ FLOATS = ([LOAD] + CLIMATE + DEGREES + ["n_estacoes", "industrial_mwmed", "indus
           "carga_lag7", "media_7d"])
 INTS = "mes, dia_semana, trimestre, is_feriado, is_vespera_feriado, is_fds"
 oracle("model_dataset", "conjunto", f"SELECT {KEY}, ano, {INTS}, {r(FLOATS)} FROM conjunto")
+table("limites_longos", "limites", "SELECT CAST(lo - INTERVAL 400 DAY AS DATE) AS lo, hi FROM limites")
+interpolation("_longo", "limites_longos")
+table("degrau", "antes_longo", f"""
+SELECT {KEY}, v0 AS industrial_mwmed FROM antes_longo WHERE v0 IS NOT NULL UNION ALL
+SELECT 'SIN', din_instante, sum(v0) FROM antes_longo WHERE v0 IS NOT NULL GROUP BY din_instante""")
+table("degrau_var", "degrau", f"""
+SELECT *, coalesce((industrial_mwmed / nullif(lag(industrial_mwmed, 365) OVER ({BY_SUB}), 0) - 1) * 100, 0)
+       AS industrial_var_anual FROM degrau""")
+# the national level is the sum over the subsystems that have a load that day: all four
+oracle("model_dataset_strict", "carga degrau_var nacional", f"""
+SELECT {KEY}, {r('industrial_mwmed industrial_var_anual')} FROM carga LEFT JOIN degrau_var USING ({KEY})
+UNION ALL SELECT n.id_subsistema, n.din_instante, round(coalesce(d.industrial_mwmed, 0), 6) + 0.0,
+       round(d.industrial_var_anual, 6) + 0.0
+FROM nacional n LEFT JOIN degrau_var d ON d.id_subsistema = 'SIN' AND d.din_instante = n.din_instante""")
 oracle("features_climatico", "conjunto", f"""
 SELECT {KEY}, {INTS}, {r([c for c in FLOATS if c not in (LOAD, 'n_estacoes', 'carga_ontem', 'carga_lag7', 'media_7d')])}
 FROM conjunto""")
@@ -536,7 +550,7 @@ oracle("monthly_profile", "previsao", """
 SELECT regiao, CAST(month(din_instante) AS INTEGER) AS mes, round(avg(previsao_mwmed), 3) + 0.0 AS previsao_media
 FROM previsao GROUP BY 1, 2""")
 oracle("season_context", "contexto", f"""
-SELECT id_subsistema, dia_ano, {r('carga_media carga_min carga_max temp_media', 8)}, n_dias FROM contexto""")
+SELECT id_subsistema, dia_ano, {r('carga_media carga_min carga_max temp_media')}, n_dias FROM contexto""")
 oracle("season_deviation", "previsao contexto", f"""
 SELECT p.id_subsistema, p.din_instante, round(previsao_mwmed, 3) + 0.0 AS previsao_mwmed,
        round(previsao_mwmed - carga_media, 3) + 0.0 AS desvio,

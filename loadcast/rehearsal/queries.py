@@ -294,6 +294,15 @@ def model_dataset(spark, sf):
                                  v.industrial_table(spark, sf), v.TRAIN_YEAR)
 
 
+@query()
+def model_dataset_strict(spark, sf):
+    """The leak-free variant: step level, real annual change from the first day, the nation's own change."""
+    rows = dataset.build_dataset(load_days(spark, sf), v.climate_table(spark, sf),
+                                 v.industrial_table(spark, sf), v.TRAIN_YEAR, mode="step",
+                                 run_up_days=400, own_national_change=True)
+    return rows.select(SUB, DAY, *INDUSTRIAL)
+
+
 @query()
 def features_climatico(spark, sf):
     rows = v.dataset_table(spark, sf)
@@ -336,7 +345,7 @@ def supplied_days(spark, sf):
     """First quarter of the test year, one row per station and day, with some cells left empty."""
     quarter = v.readings_from_lineitem(spark, sf, f"{v.TEST_YEAR}-01-01", f"{v.TEST_YEAR}-04-01")
     days = station_day(quarter, [STATION], min_readings=1)
-    coded = map_station_region(days.join(v.supplier_codes(spark, sf), STATION))
+    coded = days.join(v.supplier_subs(spark, sf), STATION)
     return coded.select(SUB, DAY, STATION,
                         F.when(F.dayofmonth(DAY) % 5 != 0, F.col("temp_mean")).alias("temp_mean"),
                         "umid_mean")
@@ -460,7 +469,7 @@ def monthly_profile(spark, sf):
     return reports.monthly_profile(level_days(spark, sf))
 
 
-@query(8)
+@query()
 def season_context(spark, sf):
     return reports.season_context(test_rows(spark, sf), train_rows(spark, sf))
 

@@ -18,6 +18,8 @@ from loadcast.session import STORE
 
 TRAIN_YEAR = 1999
 TEST_YEAR = 2000
+# an irrational step, so that no mean temperature sits exactly between two rounded values
+DEGREES_PER_UNIT = 0.5772156649015329
 REGION_CODES = {"AFRICA": "N", "ASIA": "NE", "EUROPE": "S", "AMERICA": "SE", "MIDDLE EAST": "CO"}
 
 
@@ -29,18 +31,19 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("long")
 
 
-def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation to region code; 25 nations and 5 regions at every scale."""
+def nation_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation to subsystem, mapped once per nation. Spark broadcasts it after checking its size."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
-            .select("n_nationkey", lookup(REGION_CODES, F.col("r_name")).alias("regiao_estacao")))
+    coded = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+             .select("n_nationkey", lookup(REGION_CODES, F.col("r_name")).alias("regiao_estacao")))
+    return map_station_region(coded)
 
 
-def supplier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = read(spark, sf_dir, "supplier")
-    nations = nation_codes(spark, sf_dir)
+def supplier_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier to subsystem. Suppliers grow with the data, so the join strategy is left to Spark."""
+    supplier, nations = read(spark, sf_dir, "supplier"), nation_subs(spark, sf_dir)
     return (supplier.join(nations, supplier.s_nationkey == nations.n_nationkey)
-            .select(F.col("s_suppkey").alias(STATION), "regiao_estacao"))
+            .select(F.col("s_suppkey").alias(STATION), SUB))
 
 
 def load_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +53,13 @@ def load_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     row per calendar day, so no customer key is hot in the join, however many orders it holds.
     """
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    nations = nation_codes(spark, sf_dir)
+    nations = nation_subs(spark, sf_dir)
     folded = (orders.groupBy(F.col("o_custkey").alias("c_custkey"),
                              F.to_date("o_orderdate").alias(DAY))
               .agg(F.sum(F.round(F.col("o_totalprice") / 100).cast("long")).alias("total")))
     coded = (customer.join(nations, customer.c_nationkey == nations.n_nationkey)
-             .select("c_custkey", "regiao_estacao"))
-    return (map_station_region(folded.join(coded, "c_custkey"))
+             .select("c_custkey", SUB))
+    return (folded.join(coded, "c_custkey")
             .groupBy(SUB, DAY).agg(F.sum("total").cast("double").alias(LOAD)))
 
 
@@ -74,7 +77,7 @@ def readings_from_lineitem(spark: SparkSession, sf_dir: str, since: str | None =
     quantity = F.col("l_quantity")
     return item.select(
         F.col("l_suppkey").alias(STATION), F.to_date("l_shipdate").alias(DAY),
-        (quantity / 2 + 15).alias("temp"),
+        (quantity * DEGREES_PER_UNIT + 15).alias("temp"),
         (cents(F.col("l_discount")) * 5 + 40).cast("double").alias("umid"),
         F.round(F.col("l_extendedprice") / 100).alias("rad"),
         F.round(F.col("l_tax") * 100).alias("vento"),
@@ -87,8 +90,7 @@ def climate_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     The station-day aggregate runs before the supplier join for the same reason as above.
     """
     days = station_day(readings_from_lineitem(spark, sf_dir), [STATION], min_readings=1)
-    coded = map_station_region(days.join(supplier_codes(spark, sf_dir), STATION))
-    return regional_climate(coded)
+    return regional_climate(days.join(supplier_subs(spark, sf_dir), STATION))
 
 
 def monthly_industrial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +100,7 @@ def monthly_industrial(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = (item.groupBy(F.col("l_suppkey").alias(STATION), F.year(ship).alias("ano"),
                            F.month(ship).alias("mes"))
               .agg(F.sum(F.round("l_extendedprice").cast("long")).alias("total")))
-    coded = map_station_region(folded.join(supplier_codes(spark, sf_dir), STATION))
-    return coded.groupBy("ano", "mes", SUB).agg(F.sum("total").cast("double").alias("industrial_mwh"))
+    return folded.join(supplier_subs(spark, sf_dir), STATION).groupBy("ano", "mes", SUB).agg(F.sum("total").cast("double").alias("industrial_mwh"))
 
 
 def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
