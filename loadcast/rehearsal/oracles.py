@@ -93,8 +93,8 @@ JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 
 table("item", "", f"""
 SELECT l_suppkey AS estacao, {SUB_OF_REGION} AS id_subsistema, CAST(l_shipdate AS DATE) AS din_instante,
-       15 + l_quantity * CAST('0.5772156649015329' AS DOUBLE) AS temp, CAST(40 + 5 * CAST(round(l_discount * 100) AS BIGINT) AS DOUBLE) AS umid,
-       round(l_extendedprice / 100) AS rad, round(l_tax * 100) AS vento,
+       15 + l_quantity * CAST('0.5772156649015329' AS DOUBLE) AS temp, 40 + round(l_discount * 100) * CAST('4.71238898038469' AS DOUBLE) AS umid,
+       round(l_extendedprice / 100) AS rad, round(l_tax * 100) * CAST('0.915965594177219' AS DOUBLE) AS vento,
        CASE WHEN l_returnflag = 'R' THEN l_quantity END AS precip,
        CAST(round(l_extendedprice) AS BIGINT) AS valor
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey

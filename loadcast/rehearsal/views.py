@@ -18,8 +18,10 @@ from loadcast.session import STORE
 
 TRAIN_YEAR = 1999
 TEST_YEAR = 2000
-# an irrational step, so that no mean temperature sits exactly between two rounded values
+# irrational steps, so that no mean sits exactly between two rounded values
 DEGREES_PER_UNIT = 0.5772156649015329
+HUMIDITY_PER_CENT = 4.71238898038469
+WIND_PER_CENT = 0.915965594177219
 REGION_CODES = {"AFRICA": "N", "ASIA": "NE", "EUROPE": "S", "AMERICA": "SE", "MIDDLE EAST": "CO"}
 
 
@@ -78,9 +80,9 @@ def readings_from_lineitem(spark: SparkSession, sf_dir: str, since: str | None =
     return item.select(
         F.col("l_suppkey").alias(STATION), F.to_date("l_shipdate").alias(DAY),
         (quantity * DEGREES_PER_UNIT + 15).alias("temp"),
-        (cents(F.col("l_discount")) * 5 + 40).cast("double").alias("umid"),
+        (cents(F.col("l_discount")) * HUMIDITY_PER_CENT + 40).alias("umid"),
         F.round(F.col("l_extendedprice") / 100).alias("rad"),
-        F.round(F.col("l_tax") * 100).alias("vento"),
+        (cents(F.col("l_tax")) * WIND_PER_CENT).alias("vento"),
         F.when(F.col("l_returnflag") == "R", quantity).alias("precip"))
 
 
