@@ -112,6 +112,6 @@ def test_year_partitions_and_cache(spark, tmp_path):
 
 def test_brazilian_csv(spark, tmp_path):
     path = str(tmp_path / "o")
-    write_csv(spark.createDataFrame([("N", 1.5, 2)], "a string, b double, c int"), path, brazilian=True)
+    write_csv(spark.createDataFrame([("N", 1.5, 2)], "a string, b double, c int").coalesce(1), path, brazilian=True)
     text = next((tmp_path / "o").glob("*.csv")).read_text()
     assert text == "a;b;c\nN;1,5;2\n"
