@@ -23,9 +23,9 @@ from loadcast.operators.quality import quality_control
 from loadcast.operators.recursive import recursive_forecast
 from loadcast.plans import dataset, scoring, serving
 from loadcast.rehearsal import views as v
-from loadcast.schema import (AUTOREGRESSIVE, CALENDAR, CLIMATE, CLIMATE_DAILY, CLIMATE_INPUTS, DAY,
-                             FEATURE_GROUPS, INDUSTRIAL, LEVEL_INPUT, LOAD, REGIONS, STATION, SUB,
-                             SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS, mode_features)
+from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS, INDUSTRIAL,
+                             LEVEL_INPUT, LOAD, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS,
+                             mode_features)
 from loadcast.session import STORE
 from loadcast.sources import load as load_source
 from loadcast.sources import user_tables
