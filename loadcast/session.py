@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +30,10 @@ def build_session(app: str = "loadcast", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for an unset local session."""
+    """The cluster's checkpoint folder. There is no other one that all executors are sure to reach."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="loadcast-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors can reach")
     return folder
 
 
