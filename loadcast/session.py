@@ -30,11 +30,14 @@ def build_session(app: str = "loadcast", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. There is no other one that all executors are sure to reach."""
+    """The cluster's checkpoint folder; where that is unset, a folder in the warehouse.
+
+    Both are shared by the driver and all executors, unlike a temporary folder.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors can reach")
-    return folder
+    if folder:
+        return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loadcast-shared"
 
 
 def settle(df: DataFrame, by: str | None = None) -> DataFrame:
