@@ -186,12 +186,13 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows if there."""
     rows = _with_spans(scan(docs, docs.columns)).select(*docs.columns, "spans")
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(docs.columns)).to_pylist()):
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
                 if spans:
                     parts, stop = [], 0
                     for s in spans:
@@ -200,9 +201,9 @@ def redact(docs: DataFrame) -> DataFrame:
                         stop = max(stop, s["end"])
                     text = "".join([*parts, text[stop:]])
                 texts.append(text)
-            columns = [batch.column(k) for k in range(len(docs.columns))]
+            columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     done = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

@@ -183,10 +183,11 @@ def keep_good(docs: DataFrame, rules: dict[str, Rule] | None = None, sample_rows
     """The rows that no rule rejects, unchanged; a rejected text meets no further rule."""
     rules = rules or RULES
     order = plan_cascade(docs, rules, sample_rows)
+    place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(docs.columns.index("text")).cast(pa.binary()).to_pylist()
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([passes(Text(t or b""), rules, order) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
