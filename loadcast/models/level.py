@@ -29,14 +29,23 @@ def fit_level(train: DataFrame) -> DataFrame:
 
 
 def apply_level(df: DataFrame, level: DataFrame) -> DataFrame:
-    """Adds the level column; rows of unfitted regions are dropped."""
+    """Adds the level column; a row of a region without a fitted level is an error that names it.
+
+    Missing inputs are the caller's to fill (``fill_level_input``); where a region has none at all, the
+    level is its intercept.
+    """
     value = F.col("intercepto") + F.col("inclinacao") * F.coalesce(LEVEL_INPUT, F.lit(0.0))
-    return (df.join(level.select(SUB, "inclinacao", "intercepto"), SUB)
-            .withColumn(LEVEL, value).drop("inclinacao", "intercepto"))
+    unfitted = F.raise_error(F.concat(F.lit("no fitted level for region "), F.col(SUB))).cast("double")
+    return (df.join(F.broadcast(level.select(SUB, "inclinacao", "intercepto")), SUB, "left")   # a row per region
+            .withColumn(LEVEL, F.when(F.col("inclinacao").isNull(), unfitted).otherwise(value))
+            .drop("inclinacao", "intercepto"))
 
 
 def level_predictor(level: DataFrame):
-    """The level alone as a forecast, for tests and baselines that need no trees."""
+    """The level alone as a forecast, for tests and baselines that need no trees.
+
+    It fills missing inputs by a window over each region, so it is for rows by region and day.
+    """
     def predict(df: DataFrame) -> DataFrame:
-        return apply_level(df, level).withColumnRenamed(LEVEL, PRED)
+        return apply_level(fill_level_input(df), level).withColumnRenamed(LEVEL, PRED)
     return predict

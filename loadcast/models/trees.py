@@ -56,13 +56,13 @@ class Package:
     trees: dict[str, PipelineModel]
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        return apply_level(fill_missing(df, self.fills, self.features), self.level)
+        """The level from its own input, then the medians that the trees need for missing values."""
+        return fill_missing(apply_level(df, self.level), self.fills, self.features)
 
     def decompose(self, df: DataFrame) -> DataFrame:
         """Adds level, climate response and their sum; in delta modes yesterday and the change."""
         base = F.col(LEVEL) if self.mode == "climatico" else F.col("carga_ontem")
-        return (self.score(self.prepare(df).filter(F.col(SUB).isin(list(self.trees))))
-                .withColumn(FORECAST, base + F.col(RESPONSE)))
+        return self.score(self.prepare(df)).withColumn(FORECAST, base + F.col(RESPONSE))
 
     def score(self, prepared: DataFrame) -> DataFrame:
         """One pass over the rows, whatever the number of regions.
@@ -72,7 +72,8 @@ class Package:
         """
         columns = prepared.columns
         assembler = next(iter(self.trees.values())).stages[0]
-        scored, response = assembler.transform(prepared), F.lit(None).cast("double")
+        unfitted = F.raise_error(F.concat(F.lit("no fitted model for region "), F.col(SUB)))
+        scored, response = assembler.transform(prepared), unfitted.cast("double")
         for region, model in self.trees.items():
             output = f"arvores_{region}"
             scored = model.stages[-1].copy().setPredictionCol(output).transform(scored)
@@ -120,8 +121,8 @@ def fill_missing(df: DataFrame, fills: DataFrame, features: list[str]) -> DataFr
     cols = fillable(features)
     small = fills.select(SUB, *[F.col(c).alias(f"fill_{c}") for c in cols])
     flag = F.col("temp_mean").isNull().cast("double")
-    return (df.withColumn(MISSING_FLAG, flag).join(small, SUB)
-            .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{c}")) for c in cols})
+    return (df.withColumn(MISSING_FLAG, flag).join(F.broadcast(small), SUB, "left")       # a row per region
+            .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{c}"), F.lit(0.0)) for c in cols})
             .drop(*[f"fill_{c}" for c in cols]))
 
 

@@ -323,22 +323,22 @@ FROM previsto p JOIN sorteio_nivel{seed} USING ({KEY}) JOIN ajuste USING (id_sub
 for _seed in (0, 1, 2):
     table(f"dano{_seed}", f"previsto ajuste sorteio_nivel{_seed}", shuffled_mae(_seed))
 
-table("pares_estacao", "teste treino", f"""
+table("pares_estacao", "teste conjunto", f"""
 SELECT t.id_subsistema, t.dia_ano, h.{LOAD} AS y, h.temp_mean
 FROM (SELECT DISTINCT id_subsistema, CAST(dayofyear(din_instante) AS INTEGER) AS dia_ano FROM teste) t
-JOIN treino h ON h.id_subsistema = t.id_subsistema AND abs(dayofyear(h.din_instante) - t.dia_ano) <= 10""")
+JOIN conjunto h ON h.id_subsistema = t.id_subsistema AND abs(dayofyear(h.din_instante) - t.dia_ano) <= 10""")
 table("perto", "pares_estacao", """
 SELECT id_subsistema, dia_ano, sum(y) / count(y) AS carga_media, min(y) AS carga_min, max(y) AS carga_max,
        sum(temp_mean) / count(temp_mean) AS temp_media, count(*) AS n_dias FROM pares_estacao GROUP BY 1, 2""")
 
 # without any day near by, the whole history of the region stands in
-table("contexto", "perto teste treino", f"""
+table("contexto", "perto teste conjunto", f"""
 SELECT * FROM perto UNION ALL BY NAME
 SELECT t.id_subsistema, t.dia_ano, sum(h.{LOAD}) / count(h.{LOAD}) AS carga_media, min(h.{LOAD}) AS carga_min,
        max(h.{LOAD}) AS carga_max, sum(h.temp_mean) / count(h.temp_mean) AS temp_media,
        CASE WHEN count(h.din_instante) > 0 THEN count(h.din_instante) END AS n_dias
 FROM (SELECT DISTINCT id_subsistema, CAST(dayofyear(din_instante) AS INTEGER) AS dia_ano FROM teste) t
-LEFT JOIN treino h ON h.id_subsistema = t.id_subsistema
+LEFT JOIN conjunto h ON h.id_subsistema = t.id_subsistema
 WHERE NOT EXISTS (SELECT 1 FROM perto p WHERE p.id_subsistema = t.id_subsistema AND p.dia_ano = t.dia_ano)
 GROUP BY 1, 2""")
 
@@ -515,7 +515,7 @@ oracle("temperature_sweep_inputs", "conjunto teste", f"""
 SELECT id_subsistema, din_instante, passo, round(t, 6) + 0.0 AS temp_mean, round(t + amp / 2, 6) + 0.0 AS temp_max,
        round(t - amp / 2, 6) + 0.0 AS temp_min
 FROM (SELECT *, lo + passo * (hi - lo) / 59 AS t FROM
-      (SELECT id_subsistema, min(din_instante) AS din_instante FROM teste GROUP BY id_subsistema, mes)
+      (SELECT id_subsistema, din_instante FROM teste)
       JOIN (SELECT id_subsistema, min(temp_mean) - 2 AS lo, max(temp_mean) + 2 AS hi,
                    median(temp_max - temp_min) AS amp FROM conjunto GROUP BY 1) USING (id_subsistema),
       (SELECT CAST(range AS INTEGER) AS passo FROM range(60)))""")

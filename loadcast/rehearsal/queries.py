@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from loadcast.functions.calendar import calendar_features, is_holiday
 from loadcast.functions.text import label_lower, label_upper
 from loadcast.functions.thermal import coherent_max, coherent_min, hours_above
-from loadcast.models.level import LEVEL, apply_level, fit_level, level_predictor
+from loadcast.models.level import fill_level_input, LEVEL, apply_level, fit_level, level_predictor
 from loadcast.models.trees import Package, fit_package, load_package, top_features
 from loadcast.operators import grid, industrial, metrics, national, permutation, reports, series
 from loadcast.operators.climate import (dedup_station_days, map_station_region, regional_climate,
@@ -399,9 +399,8 @@ def observed_climate(spark, sf):
 
 
 def sweep_scenarios(spark, sf):
-    """One scenario per region and month: its first day in the test year."""
-    return (test_rows(spark, sf).groupBy(SUB, F.month(DAY).alias("mes_cenario"))
-            .agg(F.min(DAY).alias(DAY)).select(SUB, DAY))
+    """One scenario per region and day of the test year."""
+    return test_rows(spark, sf).select(SUB, DAY)
 
 
 @query()
@@ -471,18 +470,18 @@ def monthly_profile(spark, sf):
 
 @query()
 def season_context(spark, sf):
-    return reports.season_context(test_rows(spark, sf), train_rows(spark, sf))
+    return reports.season_context(test_rows(spark, sf), v.dataset_table(spark, sf))
 
 
 @query(LEVEL_DIGITS)
 def season_deviation(spark, sf):
-    context = reports.season_context(test_rows(spark, sf), train_rows(spark, sf))
+    context = reports.season_context(test_rows(spark, sf), v.dataset_table(spark, sf))
     return reports.season_deviation(level_days(spark, sf), context)
 
 
 @query()
 def season_histogram(spark, sf):
-    return reports.season_histogram(test_rows(spark, sf), train_rows(spark, sf))
+    return reports.season_histogram(test_rows(spark, sf), v.dataset_table(spark, sf))
 
 
 @query(LEVEL_DIGITS)
@@ -613,7 +612,7 @@ FORECAST_COLUMNS = [SUB, DAY, LEVEL, "resposta_climatica", reports.FORECAST]
 
 @query()
 def climatic_forecast(spark, sf):
-    return package(spark, sf, "climatico").decompose(test_rows(spark, sf)).select(*FORECAST_COLUMNS)
+    return package(spark, sf, "climatico").decompose(fill_level_input(test_rows(spark, sf))).select(*FORECAST_COLUMNS)
 
 
 @query()

@@ -27,8 +27,7 @@ def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in NO_MODEL if n not in (
-    "level_fit", "level_forecast")][::6])
+@pytest.mark.parametrize("name", NO_MODEL)
 def test_query_equals_oracle(spark, con, sf, name):
     _, problems = check.compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], sf)
     assert not problems
