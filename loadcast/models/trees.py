@@ -64,6 +64,10 @@ class Package:
         base = F.col(LEVEL) if self.mode == "climatico" else F.col("carga_ontem")
         return self.score(self.prepare(df)).withColumn(FORECAST, base + F.col(RESPONSE))
 
+    def fitted(self, df: DataFrame) -> DataFrame:
+        """The rows of regions that have a model; forecasting any other row is an error."""
+        return df.filter(F.col(SUB).isin(list(self.trees)))
+
     def score(self, prepared: DataFrame) -> DataFrame:
         """One pass over the rows, whatever the number of regions.
 

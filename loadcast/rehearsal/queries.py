@@ -673,16 +673,18 @@ def permutation_importance(spark, sf):
 
 @query()
 def batch_forecast(spark, sf):
-    """A forecast for every accepted user row."""
-    rows = serving.forecast(order_inputs(spark, sf), package(spark, sf, "climatico"),
-                            v.medians_table(spark, sf), v.industrial_table(spark, sf), validated=True)
+    """A forecast for every accepted user row of a region with a model."""
+    climatic = package(spark, sf, "climatico")
+    rows = serving.forecast(climatic.fitted(order_inputs(spark, sf)), climatic, v.medians_table(spark, sf),
+                            v.industrial_table(spark, sf), validated=True)
     return rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS)
 
 
 @query()
 def project_year(spark, sf):
-    rows = serving.project_year(v.TEST_YEAR, v.all_regions(spark, sf), v.normal_table(spark, sf),
-                                package(spark, sf, "climatico"), v.medians_table(spark, sf),
+    climatic = package(spark, sf, "climatico")
+    rows = serving.project_year(v.TEST_YEAR, climatic.fitted(v.all_regions(spark, sf)), v.normal_table(spark, sf),
+                                climatic, v.medians_table(spark, sf),
                                 v.industrial_table(spark, sf),
                                 reports.observed_climate(v.dataset_table(spark, sf), v.TEST_YEAR))
     return reports.period_summary(rows)
