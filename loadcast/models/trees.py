@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loadcast.models.level import LEVEL, apply_level, fill_level_input, fit_level
 from loadcast.operators.metrics import PRED
 from loadcast.schema import AUTOREGRESSIVE, CLIMATE, INDUSTRIAL, LOAD, SUB, mode_features
-from loadcast.session import settle
+from loadcast.session import written
 
 RESPONSE = "resposta_climatica"
 FORECAST = "previsao_mwmed"
@@ -143,7 +143,7 @@ def fit_package(mode: str, train: DataFrame, regions: list[str], parallelism: in
     package = Package(mode, features, fit_level(train), fill_values(train, features), {})
     labelled = (package.prepare(train).withColumn("label", label_column(mode))
                 .select(SUB, "label", *features, MISSING_FLAG))
-    labelled = settle(labelled, by=SUB)         # boosting reads it many times
+    labelled = written(labelled, by=SUB)         # boosting reads it many times
     pipeline = tree_pipeline(mode, features, **overrides)
 
     def fit(region: str):

@@ -84,6 +84,7 @@ def permutation_importance(test: DataFrame, columns: list[str], predict: Predict
     per_column = mae.groupBy(SUB, "coluna").agg(F.avg("mae").alias("mae"))
     base = F.max(F.when(F.col("coluna") == "", F.col("mae"))).over(Window.partitionBy(SUB))
     growth = (per_column.withColumn("base", base).filter(F.col("coluna") != "")
-              .select(SUB, "coluna", (F.col("mae") - F.col("base")).alias("piora_mae")))
+              # adding in another order moves the last digits, which must not decide a rank
+              .select(SUB, "coluna", (F.round(F.col("mae") - F.col("base"), 6) + 0.0).alias("piora_mae")))
     rank = F.row_number().over(Window.partitionBy(SUB).orderBy(F.desc("piora_mae"), "coluna"))
     return growth.withColumn("posicao", rank)

@@ -10,12 +10,14 @@ from loadcast.functions.thermal import (coherent_max, coherent_min, cooling_degr
                                         heating_degrees, hours_above)
 from loadcast.models.trees import Package
 from loadcast.operators.grid import complete_period, seed_missing
-from loadcast.operators.industrial import industrial_daily
+from loadcast.operators.industrial import industrial_daily, monthly_anchors
 from loadcast.operators.reports import temperature_sweep, with_region_name
 from loadcast.plans.dataset import day_bounds
 from loadcast.schema import (CLIMATE_INPUTS, DAY, HOT_HOUR, INDUSTRIAL, PUBLICATION_LAG_MONTHS,
                              REGIONS, RUN_UP_DAYS, SUB)
-from loadcast.session import settle
+from loadcast.session import written
+
+SETTLED_DAYS = 366          # a year and a day: from then on a flat level has no annual change
 
 
 def unknown_regions(inputs: DataFrame) -> DataFrame:
@@ -42,6 +44,24 @@ def serving_industrial(inputs: DataFrame, monthly: DataFrame,
     return industrial_daily(monthly, *day_bounds(inputs), lag_months, run_up_days=RUN_UP_DAYS)
 
 
+def industrial_series(monthly: DataFrame, lag_months: int = PUBLICATION_LAG_MONTHS) -> DataFrame:
+    """Industrial level and annual change for every day on which either can move.
+
+    The level is flat and the change zero from a year after the last anchor on, and up to the first one. So
+    the series is as long as the published months, whatever dates are asked of it.
+    """
+    span = monthly_anchors(monthly, lag_months).agg(F.struct(
+        F.date_sub(F.min("anchor"), SETTLED_DAYS).alias("lo"), F.date_add(F.max("anchor"), SETTLED_DAYS).alias("hi"))).scalar()
+    return industrial_daily(monthly, span["lo"], span["hi"], lag_months)
+
+
+def with_industrial(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """Each row with the series at its day; days outside the series take its nearest end."""
+    lo, hi = day_bounds(series)
+    at = series.withColumnRenamed(DAY, "_at")
+    return rows.withColumn("_at", F.greatest(F.least(DAY, hi), lo)).join(at, [SUB, "_at"], "left").drop("_at")
+
+
 def require_known_regions(inputs: DataFrame) -> None:
     """Raise if a row names no known region. Runs one job over the region column."""
     labels = [r[0] for r in unknown_regions(inputs).limit(5).collect()]
@@ -69,13 +89,8 @@ def serving_features(inputs: DataFrame, medians: DataFrame, monthly: DataFrame,
     given = lambda c, default: F.coalesce(F.col(c), F.col(default)) if c in inputs.columns else F.col(default)
     df = df.withColumns({"graus_refrig_med3": given("graus_refrig_med3", "graus_refrig"),
                          "temp_mean_ontem": given("temp_mean_ontem", "temp_mean")})
-    # the series is as long as the asked period; Spark broadcasts it only if its size allows
-    industrial = serving_industrial(inputs, monthly, lag_months)
-    latest = industrial.groupBy(SUB).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(DAY))).alias(f"last_{c}") for c in INDUSTRIAL])
-    df = df.join(industrial, [SUB, DAY], "left").join(latest, SUB, "left")
-    return (df.withColumns({c: F.coalesce(F.col(c), F.col(f"last_{c}")) for c in INDUSTRIAL})
-            .drop(*[f"last_{c}" for c in INDUSTRIAL]))
+    # written, so that Spark joins by its true size; the input rows are read once
+    return with_industrial(df.drop(*INDUSTRIAL), written(industrial_series(monthly, lag_months)))
 
 
 def forecast(inputs: DataFrame, package: Package, medians: DataFrame, monthly: DataFrame,
@@ -106,8 +121,7 @@ def year_inputs(year: int, wanted: DataFrame, normal: DataFrame,
 def project_year(year: int, wanted: DataFrame, normal: DataFrame, package: Package,
                  medians: DataFrame, monthly: DataFrame,
                  climate: DataFrame | None = None) -> DataFrame:
-    # the completed year is small: compute it once, then read it for its bounds and its rows
-    return forecast(settle(year_inputs(year, wanted, normal, climate)), package, medians, monthly)
+    return forecast(year_inputs(year, wanted, normal, climate), package, medians, monthly)
 
 
 def response_curve(scenarios: DataFrame, history: DataFrame, package: Package, medians: DataFrame,

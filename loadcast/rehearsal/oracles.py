@@ -195,7 +195,7 @@ table("normal", "normal_tripla", "SELECT * EXCLUDE (copia) FROM normal_tripla WH
 table("enviado_estacao", "item_dia", f"""
 SELECT id_subsistema, din_instante, estacao, umid_mean,
        CASE WHEN day(din_instante) % 5 <> 0 THEN temp_mean END AS temp_mean
-FROM item_dia WHERE din_instante BETWEEN DATE '{TEST}-01-01' AND DATE '{TEST}-03-31'""")
+FROM item_dia""")
 table("enviado", "enviado_estacao", f"""
 SELECT {KEY}, temp_mean AS u_temp, umid_mean AS u_umid FROM enviado_estacao
 QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY estacao DESC) = 1""")
@@ -217,7 +217,8 @@ FROM cheio{suffix} LEFT JOIN (SELECT *, TRUE AS veio FROM enviado) u USING ({KEY
 
 
 FROM_FILE = "CASE WHEN veio THEN 'arquivo' ELSE 'climatologia' END"
-completed("_lote", "enviado", "(SELECT min(din_instante) FROM enviado)", f"DATE '{TEST}-12-31'", FROM_FILE)
+completed("_lote", "enviado", "(SELECT min(din_instante) FROM enviado)",
+          "(SELECT make_date(year(max(din_instante)), 12, 31) FROM enviado)", FROM_FILE)
 # a region without supplied rows is seeded with one empty row, which counts as supplied
 completed("_ano", "conjunto", f"DATE '{TEST}-01-01'", f"DATE '{TEST}-12-31'", f"""
 CASE WHEN veio OR (din_instante = DATE '{TEST}-01-01' AND id_subsistema NOT IN
@@ -298,30 +299,27 @@ SELECT notas.*, CASE WHEN modo NOT LIKE '[baseline]%' THEN (1 - mae / nullif(ref
 FROM notas LEFT JOIN melhor USING (id_subsistema, classe)""")
 
 
-def ranked_column(name: str, column: str, seed: int) -> None:
-    """A column permuted inside each region: value of the row whose hash rank equals the day rank."""
-    table(name, "teste", f"""
-SELECT a.id_subsistema, a.din_instante, b.valor FROM
-(SELECT {KEY}, row_number() OVER ({BY_SUB}) AS pos FROM teste) a JOIN
-(SELECT id_subsistema, {column} AS valor, row_number() OVER (PARTITION BY id_subsistema ORDER BY
- md5('{seed}|{column}|' || id_subsistema || '|' || CAST(din_instante AS VARCHAR))) AS pos FROM teste) b
-ON a.id_subsistema = b.id_subsistema AND a.pos = b.pos""")
-
-
-for _seed in (0, 1, 2):
-    ranked_column(f"sorteio_nivel{_seed}", "industrial_mwmed", _seed)
-ranked_column("sorteio_temp", "temp_mean", 0)
-
-
-def shuffled_mae(seed: int) -> str:
-    return f"""
-SELECT p.id_subsistema, avg(abs(p - y)) AS base,
+FEATURES = (["mes", "dia_semana", "trimestre", "is_feriado", "is_fds", "is_vespera_feriado", "dia_ano_sen", "dia_ano_cos"]
+            + CLIMATE + DEGREES + ["graus_refrig_med3", "temp_mean_ontem", "amplitude_termica", "industrial_mwmed",
+                                   "industrial_var_anual", "carga_ontem", "carga_lag7", "media_7d"])
+table("celulas", "teste", f"""
+SELECT id_subsistema, din_instante, coluna, valor FROM
+(SELECT {KEY}, {each('CAST({c} AS DOUBLE) AS {c}', FEATURES)} FROM teste)
+UNPIVOT INCLUDE NULLS (valor FOR coluna IN ({', '.join(FEATURES)}))""")
+# every column permuted inside each region: the value of the row whose hash rank equals the day rank
+table("lugares", "celulas", """
+SELECT *, row_number() OVER (PARTITION BY semente, coluna, id_subsistema ORDER BY din_instante) AS dia,
+       row_number() OVER (PARTITION BY semente, coluna, id_subsistema ORDER BY md5(
+       semente || '|' || coluna || '|' || id_subsistema || '|' || CAST(din_instante AS VARCHAR))) AS bilhete
+FROM celulas, (SELECT CAST(range AS INTEGER) AS semente FROM range(8))""")
+table("sorteio", "lugares", """
+SELECT a.semente, a.coluna, a.id_subsistema, a.din_instante, b.valor FROM lugares a JOIN lugares b
+ON a.semente = b.semente AND a.coluna = b.coluna AND a.id_subsistema = b.id_subsistema AND a.dia = b.bilhete""")
+table("dano", "previsto ajuste sorteio", f"""
+SELECT semente, p.id_subsistema, avg(abs(p - y)) AS base,
        avg(abs(intercepto + inclinacao * coalesce(valor, 0) - y)) AS emb
-FROM previsto p JOIN sorteio_nivel{seed} USING ({KEY}) JOIN ajuste USING (id_subsistema) GROUP BY 1"""
-
-
-for _seed in (0, 1, 2):
-    table(f"dano{_seed}", f"previsto ajuste sorteio_nivel{_seed}", shuffled_mae(_seed))
+FROM previsto p JOIN sorteio USING ({KEY}) JOIN ajuste USING (id_subsistema)
+WHERE coluna = 'industrial_mwmed' GROUP BY 1, 2""")
 
 table("pares_estacao", "teste conjunto", f"""
 SELECT t.id_subsistema, t.dia_ano, h.{LOAD} AS y, h.temp_mean
@@ -375,6 +373,14 @@ SELECT o_orderkey, upper(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ',
 oracle("region_lookup", "usuario", "SELECT o_orderkey, id_subsistema FROM usuario")
 oracle("region_rejects", "usuario", """
 SELECT DISTINCT regiao AS rotulo FROM usuario WHERE id_subsistema IS NULL ORDER BY 1 LIMIT 5""")
+oracle("reject_rows", "usuario", """
+SELECT o_orderkey, regiao AS rotulo, CASE WHEN id_subsistema IS NULL THEN 'unknown_region' ELSE 'bad_date' END AS motivo
+FROM usuario WHERE id_subsistema IS NULL OR din_instante IS NULL""")
+oracle("alias_rename", "usuario", """
+SELECT o_orderkey, regiao AS id_subsistema, CASE WHEN o_orderkey % 7 = 0 THEN '31/02/1999'
+       WHEN o_orderkey % 2 = 0 THEN strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y')
+       ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS din_instante
+FROM usuario JOIN (SELECT o_orderkey, o_orderdate FROM orders) USING (o_orderkey)""")
 oracle("reject_reasons", "usuario", """
 SELECT CASE WHEN id_subsistema IS NULL THEN 'unknown_region' ELSE 'bad_date' END AS motivo, count(*) AS linhas
 FROM usuario WHERE id_subsistema IS NULL OR din_instante IS NULL GROUP BY 1""")
@@ -565,6 +571,15 @@ oracle("sensitivity", "previsao", """
 SELECT id_subsistema, round(max(previsao_mwmed) - min(previsao_mwmed), 3) + 0.0 AS variacao_mwmed,
        round((max(previsao_mwmed) - min(previsao_mwmed)) / avg(previsao_mwmed) * 100, 3) + 0.0 AS variacao_pct
 FROM previsao GROUP BY 1""")
+table("varredura", "conjunto teste", """
+SELECT id_subsistema, din_instante, lo + passo * (hi - lo) / 59 AS t FROM
+      (SELECT id_subsistema, din_instante FROM teste)
+      JOIN (SELECT id_subsistema, min(temp_mean) - 2 AS lo, max(temp_mean) + 2 AS hi FROM conjunto GROUP BY 1)
+      USING (id_subsistema), (SELECT CAST(range AS INTEGER) AS passo FROM range(60))""")
+oracle("sweep_sensitivity", "varredura previsto", f"""
+SELECT {KEY}, round(max(f) - min(f), 3) + 0.0 AS variacao_mwmed,
+       round((max(f) - min(f)) / avg(f) * 100, 3) + 0.0 AS variacao_pct
+FROM (SELECT {KEY}, p + t - 20 AS f FROM varredura JOIN previsto USING ({KEY})) GROUP BY 1, 2""")
 oracle("field_ranges", "conjunto", """
 SELECT id_subsistema, campo, round(min(valor) - (max(valor) - min(valor)) * 0.25, 1) + 0.0 AS minimo,
        round(max(valor) + (max(valor) - min(valor)) * 0.25, 1) + 0.0 AS maximo,
@@ -591,20 +606,20 @@ oracle("accuracy_pivot", "notas", """
 SELECT id_subsistema, round(max(100 - mape) FILTER (WHERE modo = 'climatico'), 3) + 0.0 AS climatico,
        round(max(100 - mape) FILTER (WHERE modo = 'climatico (soma dos 4)'), 3) + 0.0 AS "climatico (soma dos 4)"
 FROM notas GROUP BY 1""")
-oracle("shuffle_column", "sorteio_nivel0 sorteio_temp", f"""
-SELECT {KEY}, round(a.valor, 6) + 0.0 AS industrial_mwmed_emb, round(b.valor, 6) + 0.0 AS temp_mean_emb
-FROM sorteio_nivel0 a JOIN sorteio_temp b USING ({KEY})""")
-oracle("contamination_standin", "dano0", """
+oracle("shuffle_column", "sorteio", f"""
+SELECT {KEY}, {each("round(max(valor) FILTER (WHERE coluna = '{c}'), 6) + 0.0 AS {c}_emb", FEATURES)}
+FROM sorteio WHERE semente = 0 GROUP BY 1, 2""")
+oracle("contamination_standin", "dano", """
 SELECT id_subsistema, grupo, round(base, 3) + 0.0 AS mae_base,
        round(CASE WHEN grupo = 'industrial' THEN emb ELSE base END, 3) + 0.0 AS mae_embaralhado,
        round(CASE WHEN grupo = 'industrial' THEN (emb / base - 1) * 100 ELSE 0 END, 3) + 0.0 AS piora_pct
-FROM dano0, (VALUES ('clima'), ('industrial'), ('calendario'), ('autoregressivo')) t(grupo)""")
-oracle("importance_standin", "dano0 dano1 dano2", """
+FROM dano, (VALUES ('clima'), ('industrial'), ('calendario'), ('autoregressivo')) t(grupo) WHERE semente = 0""")
+oracle("importance_standin", "dano", f"""
 SELECT id_subsistema, coluna, round(g, 3) + 0.0 AS piora_mae,
        CAST(row_number() OVER (PARTITION BY id_subsistema ORDER BY g DESC, coluna) AS INTEGER) AS posicao
-FROM (SELECT id_subsistema, 'industrial_mwmed' AS coluna, (a.emb + b.emb + c.emb) / 3 - a.base AS g
-      FROM dano0 a JOIN dano1 b USING (id_subsistema) JOIN dano2 c USING (id_subsistema)
-      UNION ALL SELECT id_subsistema, 'temp_mean', 0.0 FROM dano0)""")
+FROM (SELECT id_subsistema, coluna,
+             CASE WHEN coluna = 'industrial_mwmed' THEN round(avg(emb) - avg(base), 6) ELSE 0.0 END AS g
+      FROM dano, (SELECT unnest({FEATURES}) AS coluna) GROUP BY 1, 2)""")
 oracle("recursive_standin", "teste", f"""
 SELECT {KEY}, round(CASE WHEN pos <= 7 THEN {LOAD} ELSE s7 + pos - 7 END, 6) + 0.0 AS previsao
 FROM (SELECT {KEY}, {LOAD}, row_number() OVER ({BY_SUB}) AS pos,

@@ -105,6 +105,18 @@ def region_rejects(spark, sf):
     return user_tables.unknown_labels(rejected)
 
 
+@query()
+def reject_rows(spark, sf):
+    """Every rejected row with its label as written and the reason."""
+    _, rejected = user_tables.normalize_inputs(v.user_rows(spark, sf))
+    return rejected.select("o_orderkey", "rotulo", "motivo")
+
+
+@query()
+def alias_rename(spark, sf):
+    return user_tables.rename_columns(v.user_rows(spark, sf)).select("o_orderkey", SUB, DAY)
+
+
 @query()
 def reject_reasons(spark, sf):
     _, rejected = user_tables.normalize_inputs(v.user_rows(spark, sf))
@@ -342,9 +354,8 @@ def daily_grid(spark, sf):
 
 
 def supplied_days(spark, sf):
-    """First quarter of the test year, one row per station and day, with some cells left empty."""
-    quarter = v.readings_from_lineitem(spark, sf, f"{v.TEST_YEAR}-01-01", f"{v.TEST_YEAR}-04-01")
-    days = station_day(quarter, [STATION], min_readings=1)
+    """One row per station and day of all years, with some cells left empty; nothing after the last ship day."""
+    days = station_day(v.readings_from_lineitem(spark, sf), [STATION], min_readings=1)
     coded = days.join(v.supplier_subs(spark, sf), STATION)
     return coded.select(SUB, DAY, STATION,
                         F.when(F.dayofmonth(DAY) % 5 != 0, F.col("temp_mean")).alias("temp_mean"),
@@ -490,6 +501,14 @@ def sensitivity(spark, sf):
     return reports.sensitivity(level_days(spark, sf), [SUB])
 
 
+@query(LEVEL_DIGITS)
+def sweep_sensitivity(spark, sf):
+    """Spread of the level plus a degree per degree, over the temperature sweep of every day."""
+    levels = level_days(spark, sf).select(SUB, DAY, LEVEL)
+    swept = temperature_sweep_inputs(spark, sf).join(levels, [SUB, DAY])
+    return reports.sensitivity(swept.withColumn(reports.FORECAST, F.col(LEVEL) + F.col("temp_mean") - 20), [SUB, DAY])
+
+
 @query()
 def field_ranges(spark, sf):
     return reports.field_ranges(v.dataset_table(spark, sf))
@@ -563,20 +582,29 @@ def accuracy_pivot(spark, sf):
 
 @query()
 def shuffle_column(spark, sf):
-    return permutation.shuffle_columns(test_rows(spark, sf), [LEVEL_INPUT, "temp_mean"])
+    rows = test_rows(spark, sf)
+    return permutation.shuffle_columns(rows, mode_features("delta_d1", rows.columns))
+
+
+def level_model(spark, sf):
+    """(test rows, the level alone as a model); rows are filled before they are copied and permuted."""
+    level = fit_level(train_rows(spark, sf))
+    return (fill_level_input(test_rows(spark, sf)),
+            lambda rows: apply_level(rows, level).withColumnRenamed(LEVEL, metrics.PRED))
 
 
 @query(LEVEL_DIGITS)
 def contamination_standin(spark, sf):
     """Shuffle test with the level as the model: only the industrial group can matter."""
-    return permutation.contamination_test(test_rows(spark, sf), FEATURE_GROUPS,
-                                          level_predictor(fit_level(train_rows(spark, sf))))
+    rows, level = level_model(spark, sf)
+    return permutation.contamination_test(rows, FEATURE_GROUPS, level)
 
 
 @query(LEVEL_DIGITS)
 def importance_standin(spark, sf):
-    return permutation.permutation_importance(test_rows(spark, sf), [LEVEL_INPUT, "temp_mean"],
-                                              level_predictor(fit_level(train_rows(spark, sf))), repeats=3)
+    """Every feature, eight repeats; with the level as the model only its own input can matter."""
+    rows, level = level_model(spark, sf)
+    return permutation.permutation_importance(rows, mode_features("delta_d1", rows.columns), level)
 
 
 @query()
@@ -607,6 +635,7 @@ def model_folder(spark, sf):
     return STORE.folder(spark, sf, "models")
 
 
+MODES = ["climatico", "delta_d1"]
 FORECAST_COLUMNS = [SUB, DAY, LEVEL, "resposta_climatica", reports.FORECAST]
 
 
@@ -624,7 +653,10 @@ def delta_forecast(spark, sf):
 
 @query()
 def feature_ranking(spark, sf):
-    return top_features(package(spark, sf, "climatico"), spark)
+    """All model inputs of both modes, ranked within each region."""
+    parts = [top_features(package(spark, sf, mode), spark, top=None).withColumn(metrics.MODE, F.lit(mode))
+             for mode in MODES]
+    return parts[0].unionByName(parts[1])
 
 
 def tree_recursive(spark, sf):
@@ -647,11 +679,20 @@ def model_score_sheet(spark, sf):
                                {"climatico": climatic, "delta_d1": delta, "delta_recursivo": recursive})
 
 
-def tree_contamination(spark, sf):
+@query()
+def model_accuracy_pivot(spark, sf):
+    modes = ["climatico", "climatico (soma dos 4)", "delta_d1", "delta_recursivo", "delta_recursivo (soma dos 4)"]
+    return metrics.accuracy_pivot(model_score_sheet(spark, sf), modes)
+
+
+def rows_of_modes(spark, sf):
     test = test_rows(spark, sf)
-    modes = {"climatico": test, "delta_d1": test.dropna(subset=AUTOREGRESSIVE)}
+    return {"climatico": test, "delta_d1": test.dropna(subset=AUTOREGRESSIVE)}
+
+
+def tree_contamination(spark, sf):
     parts = [permutation.contamination_test(rows, FEATURE_GROUPS, package(spark, sf, mode).predict)
-             .withColumn(metrics.MODE, F.lit(mode)) for mode, rows in modes.items()]
+             .withColumn(metrics.MODE, F.lit(mode)) for mode, rows in rows_of_modes(spark, sf).items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -667,17 +708,21 @@ def contamination_pivot(spark, sf):
 
 @query()
 def permutation_importance(spark, sf):
-    climatic = package(spark, sf, "climatico")
-    return permutation.permutation_importance(test_rows(spark, sf), climatic.features, climatic.predict)
+    parts = []
+    for mode, rows in rows_of_modes(spark, sf).items():
+        model = package(spark, sf, mode)
+        parts.append(permutation.permutation_importance(rows, model.features, model.predict)
+                     .withColumn(metrics.MODE, F.lit(mode)))
+    return parts[0].unionByName(parts[1])
 
 
 @query()
 def batch_forecast(spark, sf):
-    """A forecast for every accepted user row of a region with a model."""
+    """A forecast for every accepted user row of a region with a model, in the order of the input."""
     climatic = package(spark, sf, "climatico")
     rows = serving.forecast(climatic.fitted(order_inputs(spark, sf)), climatic, v.medians_table(spark, sf),
                             v.industrial_table(spark, sf), validated=True)
-    return rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS)
+    return rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS).orderBy("o_orderkey")
 
 
 @query()

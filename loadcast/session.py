@@ -40,16 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loadcast-shared"
 
 
-def settle(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Compute a small result once and keep it in the shared folder, cutting its lineage.
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """A result written as a Parquet table in the shared folder and read again, so its true size is known.
 
-    With ``by`` it is written as a table with one folder per value, so that a reader of one value
-    opens only its own files.
+    With ``by`` it has one folder per value, so that a reader of one value opens only its own files.
     """
-    if by:
-        path = f"{shared_folder(df.sparkSession)}/loadcast/settled-{uuid.uuid4().hex}"
-        df.repartition(by).write.partitionBy(by).parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/loadcast/settled-{uuid.uuid4().hex}"
+    writer = df.repartition(by).write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small result once and keep it in the shared folder, cutting its lineage."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))

@@ -341,3 +341,18 @@ def test_dataset_has_no_look_ahead(spark):
                               .select(SUB, DAY, *AUTOREGRESSIVE), SUB, DAY)
     first = features(load)
     assert len(first) == 5 * 19 and first == features(changed)
+
+
+def test_industrial_series_is_as_long_as_the_published_months(spark):
+    """Dates far outside it take the nearest end and do not make it longer."""
+    m = monthly(spark)
+    series = serving.industrial_series(m)
+    lo, hi = series.agg(F.min(DAY), F.max(DAY)).first()
+    asked = spark.createDataFrame([("N", date(1, 1, 1)), ("N", lo), ("N", hi), ("N", date(9999, 12, 31))],
+                                  f"{SUB} string, {DAY} date")
+    got = rows(serving.with_industrial(asked, series), DAY)
+    assert got[0]["industrial_mwmed"] == got[1]["industrial_mwmed"] and got[3]["industrial_mwmed"] == got[2]["industrial_mwmed"]
+    assert {r["industrial_var_anual"] for r in got} == {0.0} and len(got) == 4
+    inside = asked.agg(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
+    wide = serving.serving_industrial(inside.select(F.explode(F.array("a", "b")).alias(DAY)), m)
+    assert rows(wide.filter(F.col(DAY).between(lo, hi)), SUB, DAY) == rows(series.select(wide.columns), SUB, DAY)
