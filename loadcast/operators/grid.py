@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcast.operators.quality import keep_last
 from loadcast.operators.series import fill_both_ways
-from loadcast.schema import CLIMATE_INPUTS, CLIMATOLOGY_WINDOW, DAY, SUB
+from loadcast.schema import CLIMATE_INPUTS, CLIMATOLOGY_WINDOW, DAY, REGIONS, SUB
 from loadcast.session import settle
 
 DOY = "dia_ano"
@@ -47,8 +47,8 @@ def climatology_with_fallback(normal: DataFrame, regions: DataFrame) -> DataFram
     """Climatology for the wanted regions; one without history gets the median of all regions."""
     pooled = normal.groupBy(DOY).agg(*[F.median(c).alias(c) for c in _inputs_in(normal)])
     unknown = regions.join(normal.select(SUB).distinct(), SUB, "left_anti")
-    # the unknown codes (a handful, from the region dictionary) unfold on each pooled row
-    codes = unknown.agg(F.collect_list(SUB).alias("codes")).scalar()
+    # at most the codes of the region dictionary; any other one has been refused before
+    codes = unknown.filter(F.col(SUB).isin(REGIONS)).agg(F.collect_list(SUB).alias("codes")).scalar()
     fallback = pooled.withColumn(SUB, F.explode(codes))
     known = normal.join(regions, SUB, "left_semi")
     return known.unionByName(fallback)
@@ -74,15 +74,17 @@ def complete_period(inputs: DataFrame, normal: DataFrame, order: list[str],
 
     ``order`` names the columns that decide which of several rows for one day is the last.
     ``origem`` tells supplied days from estimated ones. Days outside the period are dropped; an
-    end before the start is an error, raised when the job runs.
+    end before the start and an unknown region are errors, raised when the job runs.
     """
     cols = _inputs_in(normal)
     given = [c for c in cols if c in inputs.columns]
     # collapse duplicates in one pass over the raw inputs and keep the result: what follows reads
     # at most one row per region and day, several times
     extra = [c for c in order if c not in (SUB, DAY, *given)]
+    stray = F.raise_error(F.concat(F.lit("unknown region: "), F.coalesce(SUB, F.lit("none"))))
+    region = F.when(F.col(SUB).isin(REGIONS), F.col(SUB)).otherwise(stray.cast("string")).alias(SUB)
     supplied = settle(keep_last(inputs.select(SUB, DAY, *given, *extra), [SUB, DAY], order)
-                      .select(SUB, DAY, *[F.col(c).alias(f"u_{c}") for c in given]))
+                      .select(region, DAY, *[F.col(c).alias(f"u_{c}") for c in given]))
     span = period_bounds(supplied, since, until).select(F.struct("lo", "hi")).scalar()
     lo, hi = span["lo"], span["hi"]
     hi = F.when(hi < lo, F.raise_error(F.lit("the last day is before the first")).cast("date")).otherwise(hi)

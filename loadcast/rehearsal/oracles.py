@@ -367,6 +367,15 @@ SELECT {KEY}, CASE id_subsistema WHEN 'N' THEN 'Norte' WHEN 'NE' THEN 'Nordeste'
 oracle("csv_br_format", "clima", f"""
 SELECT {KEY}, replace(CAST(round(temp_mean, 4) AS VARCHAR), '.', ',') AS temp_mean,
        replace(CAST(rad_sum AS VARCHAR), '.', ',') AS rad_sum FROM clima""")
+oracle("station_file_scan", "", """
+SELECT CAST(user_id % 12 AS INTEGER) AS estacao, CAST(ts AS DATE) AS din_instante,
+       list_extract(['N','NE','S','SE','CO'], CAST((user_id % 12) % 5 + 1 AS INTEGER)) AS regiao_estacao,
+       round(value) / 2 AS temp, try_cast(nullif(regexp_extract(props, '([0-9]+)', 1), '') AS DOUBLE) AS umid,
+       round(value) * 10 AS rad, round(value) / 8 AS vento, CASE WHEN event_type = 'error' THEN round(value) END AS precip
+FROM events""")
+oracle("user_folder_scan", "aceito", f"SELECT {KEY}, {r('temp_mean')} FROM aceito")
+oracle("user_file_rejects", "", """
+SELECT unnest(['unknown_region', 'bad_date', 'empty', 'dialect', 'missing_column']) AS motivo""")
 oracle("normalize_label", "usuario", """
 SELECT o_orderkey, upper(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS maiuscula,
        lower(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS minuscula FROM usuario""")
@@ -398,6 +407,7 @@ QUALIFY row_number() OVER (PARTITION BY estacao, din_instante ORDER BY arquivo D
 table("leitura_regional", "leitura_dia", regional("leitura_dia"))
 oracle("events_regional_climate", "leitura_regional",
        f"SELECT {KEY}, {r(CLIMATE + DEGREES + ['n_estacoes'])} FROM leitura_regional")
+ORACLES["station_climate_job"] = ORACLES["events_regional_climate"]
 oracle("lineitem_regional_climate", "clima",
        f"SELECT {KEY}, {r(CLIMATE + DEGREES + ['n_estacoes'])} FROM clima")
 oracle("clamp_temps", "clima", f"""
@@ -459,6 +469,7 @@ FLOATS = ([LOAD] + CLIMATE + DEGREES + ["n_estacoes", "industrial_mwmed", "indus
           "carga_lag7", "media_7d"])
 INTS = "mes, dia_semana, trimestre, is_feriado, is_vespera_feriado, is_fds"
 oracle("model_dataset", "conjunto", f"SELECT {KEY}, ano, {INTS}, {r(FLOATS)} FROM conjunto")
+ORACLES["dataset_sink_scan"] = ORACLES["model_dataset"]
 table("limites_longos", "limites", "SELECT CAST(lo - INTERVAL 400 DAY AS DATE) AS lo, hi FROM limites")
 interpolation("_longo", "limites_longos")
 table("degrau", "antes_longo", f"""

@@ -21,7 +21,8 @@ from loadcast.operators.climate import (dedup_station_days, map_station_region,
                                         station_day)
 from loadcast.operators.quality import quality_control
 from loadcast.operators.recursive import recursive_forecast
-from loadcast.plans import dataset, scoring, serving
+from loadcast.plans import climate_job, dataset, scoring, serving
+from loadcast.rehearsal import files
 from loadcast.rehearsal import views as v
 from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS, INDUSTRIAL,
                              LEVEL_INPUT, LOAD, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS,
@@ -29,7 +30,8 @@ from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS
 from loadcast.session import STORE
 from loadcast.sources import load as load_source
 from loadcast.sources import user_tables
-from loadcast.sources.sinks import brazilian_text
+from loadcast.sources.sinks import brazilian_text, read_by_year, write_by_year
+from loadcast.sources.stations import read_stations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +80,45 @@ def load_scan(spark, sf):
     return load_source.read_load(spark, folder).orderBy(SUB, DAY)
 
 
+@query()
+def station_file_scan(spark, sf):
+    """Every event written as a line of a station file, and scanned back."""
+    found = read_stations(spark, files.station_files(spark, sf), files.STATION_GLOB)
+    return found.drop("arquivo").withColumn(STATION, F.col(STATION).cast("int"))
+
+
+@query()
+def station_climate_job(spark, sf):
+    """Station files of every year to regional climate, through the yearly cache."""
+    path = files.station_files(spark, sf)
+    years = [r[0] for r in v.readings_from_events(spark, sf).select(F.year(DAY)).distinct().collect()]
+    rows = climate_job.climate_of_years(spark, {y: f"{path}/ano={y}" for y in sorted(years)},
+                                        STORE.folder(spark, sf, "climate-cache"), files.STATION_GLOB)
+    return rows.drop("ano")
+
+
+@query()
+def dataset_sink_scan(spark, sf):
+    """The model dataset written by year and scanned back."""
+    path = STORE.folder(spark, sf, "dataset-by-year")
+    write_by_year(v.dataset_table(spark, sf), path)
+    return read_by_year(spark, path)
+
+
+@query()
+def user_folder_scan(spark, sf):
+    """Accepted rows of all files that users sent, in four dialects."""
+    accepted, _ = user_tables.read_user_tables(spark, files.user_folder(spark, sf))
+    return accepted.select(SUB, DAY, "temp_mean")
+
+
+@query()
+def user_file_rejects(spark, sf):
+    """Why files were rejected; how many files a folder has is up to its writer."""
+    _, rejected = user_tables.read_user_tables(spark, files.user_folder(spark, sf))
+    return rejected.filter(~F.col("arquivo").rlike("^[._]")).select("motivo").distinct()
+
+
 @query()
 def csv_br_format(spark, sf):
     climate = v.climate_table(spark, sf)

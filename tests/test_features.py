@@ -251,6 +251,12 @@ def test_end_before_start_is_an_error(spark):
         grid.complete_period(inputs, grid.climatology(history(spark)), ["row_id"], until="2024-01-01").collect()
 
 
+def test_unknown_region_is_an_error(spark):
+    inputs = spark.createDataFrame([("marte", date(2024, 5, 1), 1)], f"{SUB} string, {DAY} date, row_id int")
+    with pytest.raises(Exception, match="unknown region: marte"):
+        grid.complete_period(inputs, grid.climatology(history(spark)), ["row_id"]).collect()
+
+
 def test_year_inputs_seed_missing_regions(spark):
     wanted = spark.createDataFrame([("N",), ("S",)], f"{SUB} string")
     normal = grid.climatology(history(spark))

@@ -75,6 +75,7 @@ def test_folder_of_dialects(spark, tmp_path):
     (tmp_path / "comma.txt").write_bytes("\n".join(",".join(r) for r in comma).encode())
     (tmp_path / "doc.pdf").write_bytes(b"%PDF")
     (tmp_path / "empty.csv").write_bytes(b"\n \n")
+    (tmp_path / "zero bytes+1.csv").write_bytes(b"")
     (tmp_path / "header.csv").write_bytes(b"regiao;data\n")
     (tmp_path / "narrow.csv").write_bytes(b"regiao\nN\n")
     (tmp_path / "nodate.csv").write_bytes(b"regiao;valor\nN;1\n")
@@ -84,7 +85,7 @@ def test_folder_of_dialects(spark, tmp_path):
     assert got == {(f, s, d, t) for f in ("semi.csv", "tab.tsv", "comma.txt")
                    for s, d, t in (("NE", date(2026, 3, 5), 26.5), ("S", date(2026, 3, 6), 1018.25))}
     assert {r.arquivo: r.motivo for r in rejected.collect()} == {
-        "doc.pdf": "extension", "empty.csv": "empty", "header.csv": "empty", "narrow.csv": "dialect",
+        "doc.pdf": "extension", "empty.csv": "empty", "zero bytes+1.csv": "empty", "header.csv": "empty", "narrow.csv": "dialect",
         "nodate.csv": "missing_column", "badregion.csv": "unknown_region"}
 
 
