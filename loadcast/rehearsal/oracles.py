@@ -583,7 +583,7 @@ SELECT id_subsistema, round(max(previsao_mwmed) - min(previsao_mwmed), 3) + 0.0
        round((max(previsao_mwmed) - min(previsao_mwmed)) / avg(previsao_mwmed) * 100, 3) + 0.0 AS variacao_pct
 FROM previsao GROUP BY 1""")
 table("varredura", "conjunto teste", """
-SELECT id_subsistema, din_instante, lo + passo * (hi - lo) / 59 AS t FROM
+SELECT id_subsistema, din_instante, passo, lo + passo * (hi - lo) / 59 AS t FROM
       (SELECT id_subsistema, din_instante FROM teste)
       JOIN (SELECT id_subsistema, min(temp_mean) - 2 AS lo, max(temp_mean) + 2 AS hi FROM conjunto GROUP BY 1)
       USING (id_subsistema), (SELECT CAST(range AS INTEGER) AS passo FROM range(60))""")
@@ -635,3 +635,32 @@ oracle("recursive_standin", "teste", f"""
 SELECT {KEY}, round(CASE WHEN pos <= 7 THEN {LOAD} ELSE s7 + pos - 7 END, 6) + 0.0 AS previsao
 FROM (SELECT {KEY}, {LOAD}, row_number() OVER ({BY_SUB}) AS pos,
       nth_value({LOAD}, 7) OVER ({BY_SUB} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s7 FROM teste)""")
+
+# what holds of the tree models whatever they learn
+oracle("climatic_parts", "previsto", f"SELECT {KEY}, round(p, 3) + 0.0 AS nivel_industrial, CAST(0 AS DOUBLE) AS resto FROM previsto")
+oracle("delta_parts", "teste", f"""
+SELECT {KEY}, round(carga_ontem, 3) + 0.0 AS carga_ontem, CAST(0 AS DOUBLE) AS resto FROM teste
+WHERE carga_ontem IS NOT NULL AND carga_lag7 IS NOT NULL AND media_7d IS NOT NULL""")
+oracle("recursive_seed", "teste", f"""
+SELECT {KEY}, CASE WHEN row_number() OVER ({BY_SUB}) <= 7 THEN round({LOAD}, 3) + 0.0 END AS semente, TRUE AS previsto
+FROM teste""")
+# the flag of missing climate is one more input of the trees
+PLACES = f"(VALUES ('climatico', {len(FEATURES) - 3}), ('delta_d1', {len(FEATURES)})) t(modo, n)"
+oracle("importance_totals", "treino", f"""
+SELECT id_subsistema, modo, CAST(1 AS DOUBLE) AS total, CAST(n + 1 AS BIGINT) AS atributos, CAST(n + 1 AS BIGINT) AS posicoes
+FROM (SELECT DISTINCT id_subsistema FROM treino), {PLACES}""")
+oracle("permutation_places", "teste", f"""
+SELECT id_subsistema, modo, CAST(n AS BIGINT) AS colunas, CAST(n AS INTEGER) AS ultima
+FROM (SELECT DISTINCT id_subsistema FROM teste), {PLACES}""")
+oracle("contamination_blind", "teste", """
+SELECT DISTINCT id_subsistema, 'autoregressivo' AS grupo, CAST(0 AS DOUBLE) AS piora_pct FROM teste""")
+oracle("model_score_baselines", "placar", f"""
+SELECT id_subsistema, modo, {r('mae rmse', LEVEL3)}, n FROM placar WHERE modo LIKE '[baseline]%'""")
+oracle("project_year_days", "teste", f"""
+SELECT {NAME} AS regiao, id_subsistema, CAST(366 AS BIGINT) AS dias, DATE '{TEST}-01-01' AS de, DATE '{TEST}-12-31' AS ate,
+       count(*) AS dias_do_arquivo, 366 - count(*) AS dias_estimados FROM teste GROUP BY 1, 2""")
+oracle("response_steps", "varredura", f"SELECT {KEY}, passo, round(t, 6) + 0.0 AS temp_mean FROM varredura")
+oracle("batch_parts", "aceito industrial_pedido ajuste", f"""
+SELECT o_orderkey, {KEY}, round(intercepto + inclinacao * coalesce(industrial_mwmed, 0), 3) + 0.0 AS nivel_industrial,
+       CAST(0 AS DOUBLE) AS resto
+FROM aceito LEFT JOIN industrial_pedido USING ({KEY}) JOIN ajuste USING (id_subsistema)""")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from loadcast.plans import climate_job, dataset, scoring, serving
 from loadcast.rehearsal import files
 from loadcast.rehearsal import views as v
 from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS, INDUSTRIAL,
-                             LEVEL_INPUT, LOAD, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS,
+                             LOAD, SEED_DAYS, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS,
                              mode_features)
 from loadcast.session import STORE
 from loadcast.sources import load as load_source
@@ -782,3 +782,76 @@ def response_curve(spark, sf):
                                    package(spark, sf, "climatico"), v.medians_table(spark, sf),
                                    v.industrial_table(spark, sf))
     return curve.select(SUB, DAY, "passo", "temp_mean", reports.FORECAST)
+
+
+# what must hold of the tree models whatever they learn, each next to keys and columns that SQL can express
+
+def remainder(base):
+    return (F.col(reports.FORECAST) - F.col(base) - F.col("resposta_climatica")).alias("resto")
+
+
+@query(LEVEL_DIGITS)
+def climatic_parts(spark, sf):
+    """Level and response add up to the forecast, and the level is the regression's."""
+    return climatic_forecast(spark, sf).select(SUB, DAY, LEVEL, remainder(LEVEL))
+
+
+@query(LEVEL_DIGITS)
+def delta_parts(spark, sf):
+    """Yesterday and the change add up to the forecast."""
+    rows = delta_forecast(spark, sf).withColumnRenamed("delta", "resposta_climatica")
+    return rows.select(SUB, DAY, "carga_ontem", remainder("carga_ontem"))
+
+
+@query(LEVEL_DIGITS)
+def recursive_seed(spark, sf):
+    """The recursion starts from seven observed days and has a forecast for every day."""
+    place = F.row_number().over(Window.partitionBy(SUB).orderBy(DAY))
+    return recursive_trees(spark, sf).select(
+        SUB, DAY, F.when(place <= SEED_DAYS, F.col(metrics.PRED)).alias("semente"),
+        F.col(metrics.PRED).isNotNull().alias("previsto"))
+
+
+@query()
+def importance_totals(spark, sf):
+    """Importances add up to one over all inputs, and each input has a place of its own."""
+    return feature_ranking(spark, sf).groupBy(SUB, metrics.MODE).agg(
+        F.sum("importancia").alias("total"), F.count(F.lit(1)).alias("atributos"),
+        F.count_distinct("posicao").alias("posicoes"))
+
+
+@query()
+def permutation_places(spark, sf):
+    return permutation_importance(spark, sf).groupBy(SUB, metrics.MODE).agg(
+        F.count_distinct("coluna").alias("colunas"), F.max("posicao").alias("ultima"))
+
+
+@query()
+def contamination_blind(spark, sf):
+    """Observed load, permuted, does not move the climatic mode."""
+    rows = tree_contamination(spark, sf)
+    return rows.filter((F.col(metrics.MODE) == "climatico") & (F.col("grupo") == "autoregressivo")).select(
+        SUB, "grupo", "piora_pct")
+
+
+@query(LEVEL_DIGITS)
+def model_score_baselines(spark, sf):
+    """The baselines of the sheet that the models are scored in."""
+    rows = model_score_sheet(spark, sf)
+    return rows.filter(F.col(metrics.MODE).startswith("[baseline]")).select(SUB, metrics.MODE, "mae", "rmse", "n")
+
+
+@query()
+def project_year_days(spark, sf):
+    return project_year(spark, sf).select(reports.REGION, SUB, "dias", "de", "ate", "dias_do_arquivo", "dias_estimados")
+
+
+@query()
+def response_steps(spark, sf):
+    return response_curve(spark, sf).select(SUB, DAY, "passo", "temp_mean")
+
+
+@query(LEVEL_DIGITS)
+def batch_parts(spark, sf):
+    """Every accepted row has a forecast, its level is the regression's, and the parts add up."""
+    return batch_forecast(spark, sf).select("o_orderkey", SUB, DAY, LEVEL, remainder(LEVEL))
