@@ -25,7 +25,7 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the one that comes last in the given order.
 
     Written as an aggregate, not as a ranking window, so duplicates collapse on the map side and
-    a key with very many copies never reaches a single task whole.
+    a key with very many copies never reaches a single task whole. Spark sorts for it, as its buffer is a struct.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:

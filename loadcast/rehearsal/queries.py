@@ -35,7 +35,7 @@ from loadcast.sources.stations import read_stations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ROUNDS = 20                 # boosting rounds in the registered model queries
+ROUNDS = 20                 # boosting rounds in the registered model queries; see the README for the time of 600
 LEVEL_DIGITS = 3            # regression results lose digits to cancellation
 
 
