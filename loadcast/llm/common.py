@@ -31,3 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def spare(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores before it as no table's column needs."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

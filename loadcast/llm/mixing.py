@@ -11,7 +11,7 @@ Only DataFrame functions are used, and no randomness but hashes of the rows: rer
 
 Defined cases: a null text has size 0 and is taken as often as the whole part says (0 words); a null source
 is a source of its own, the last; repeated rows are rounded each on their own; an empty table gives an empty
-one; other input columns are ignored.
+one; other columns, whatever their names, are ignored by ``mix`` and kept by ``taken_documents``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, text_or_empty
+from .common import WORD, spare, stage, text_or_empty
 
 CHUNK = 128
 MOST_COPIES = 3
@@ -153,15 +153,16 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
 def taken_documents(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS,
                     seed: int = 7) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
+    size, nth, taken, again = (spare(name, docs) for name in ("size", "nth", "taken", "again"))
     key = ["doc_id", "source", "size"]
-    order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
     number = Window.partitionBy(*key).orderBy("copies")
-    copies = mix(docs, most, weights, seed).withColumn("nth", F.row_number().over(number)).select(
-        *(F.col(k).alias(f"_{k}") for k in key), F.col("nth").alias("_nth"), "copies")
-    rows = docs.withColumn("size", words()).withColumn("nth", F.row_number().over(order))
-    same = F.col("nth") == F.col("_nth")
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = rows.join(copies.where("copies > 0"), same)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_again")
-                         ).drop("_again")
+    copies = mix(docs, most, weights, seed).withColumn("nth", F.row_number().over(number)).where("copies > 0").select(
+        F.struct(*key, "nth", "copies").alias(taken))
+    rows = docs.withColumn(size, words()).withColumn(nth, F.row_number().over(order))
+    same = F.col(nth) == F.col(f"{taken}.nth")
+    for own, other in zip(("doc_id", "source", size), key):
+        same = same & F.col(own).eqNullSafe(F.col(f"{taken}.{other}"))
+    joined = rows.join(copies, same)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), f"{taken}.copies")).alias(again)
+                         ).drop(again)

@@ -11,7 +11,7 @@ Patterns and instances meet by aggregates over distinct pairs and by joins, so n
 an instance that is copied everywhere is gathered.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives an empty
-one; ``find`` ignores other columns, ``redact`` keeps them.
+one; ``find`` ignores other columns, ``redact`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage
+from .common import spare, stage
 
 #: In the order of the listed kinds; ``id`` is the method's own.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -126,8 +127,8 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_scanned"))
     names = rows.columns[:-1]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return stage(rows.mapInArrow(run, f"{kept}, {FOUND}"), "sightings")
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(FOUND).fields])
+    return stage(rows.mapInArrow(run, schema), "sightings")
 
 
 def _confident(known: DataFrame, pairs: DataFrame, support: int, confident: float) -> DataFrame:
@@ -185,8 +186,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` follows if there."""
-    rows = _with_spans(scan(docs, docs.columns)).select(*docs.columns, "spans")
     names = docs.columns
+    whole = scan(docs.select(F.struct(*names).alias("doc"), "text"), ["doc"])
+    rows = _with_spans(whole).select(*(F.col("doc").getField(c).alias(c) for c in names),
+                                      F.col("spans").alias(spare("spans", docs)))
     place = names.index("text")
 
     def run(batches):

@@ -16,7 +16,8 @@ every choice finds the same links.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and is linked like any
 other; fewer words than a shingle are one shingle; repeated rows are repeated in the result; the component
-is the smallest ``doc_id`` that is not null; an empty table gives an empty one; other columns are ignored.
+is the smallest ``doc_id`` that is not null; an empty table gives an empty one; other columns, whatever their names,
+are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import components
-from .common import stage
+from .common import spare, stage
 
 GROUP_BOUND = 2048
 
@@ -57,8 +58,8 @@ def fingerprint(text: bytes, words_in_shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * total > len(starts), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
-    """``docs`` (columns kept) with ``bits``, the fingerprint of ``text`` as a signed long."""
+def with_fingerprints(docs: DataFrame, words_in_shingle: int = 4, out: str = "bits") -> DataFrame:
+    """``docs`` (columns kept) with ``out``, the fingerprint of ``text`` as a signed long."""
     place = docs.columns.index("text")
 
     def compute(batches):
@@ -68,7 +69,7 @@ def with_fingerprints(docs: DataFrame, words_in_shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.array(bits, np.uint64).view(np.int64))], names=names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("bits", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
     names = schema.names
     return docs.mapInArrow(compute, schema)
 
@@ -195,8 +196,9 @@ def keep_one(docs: DataFrame, words_in_shingle: int = 4, distance: int = 4,
 
     Every task first drops all but its own best row of a component, so a large one is never gathered.
     """
-    marked = stage(with_fingerprints(docs, words_in_shingle).withColumnRenamed("bits", "_bits"), "fingerprinted")
-    found = components_of(marked.select("doc_id", F.col("_bits").alias("bits")), distance, group_bound)
-    best = Window.partitionBy("_root").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    joined = marked.join(found.select(F.col("bits").alias("_bits"), F.col("root").alias("_root")), "_bits")
-    return joined.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").select(docs.columns)
+    bits, root, nth = (spare(name, docs) for name in ("bits", "root", "nth"))
+    marked = stage(with_fingerprints(docs, words_in_shingle, bits), "fingerprinted")
+    found = components_of(marked.select("doc_id", F.col(bits).alias("bits")), distance, group_bound)
+    best = Window.partitionBy(root).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    joined = marked.join(found.select(F.col("bits").alias(bits), F.col("root").alias(root)), bits)
+    return joined.withColumn(nth, F.row_number().over(best)).where(F.col(nth) == 1).select(docs.columns)

@@ -399,3 +399,24 @@ def test_patterns_find_what_seeds_miss(spark):
     assert rows[11].spans == rows[12].spans == ""
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[10] == "other words, phone number <PHONE> thanks" and clean[12] == texts[12]
+
+
+#: Names that the operators give to columns of their own.
+CLASHES = ("bits _bits root _root nth _nth size rows copies taken again _again _row row base seen more spans kind start "
+           "doc part rank_in_part length key bucket shard slot words hashes template found component_id").split()
+
+
+@pytest.mark.parametrize("work", [
+    quality.keep_good, simhash.keep_one, pii.redact, mixing.taken_documents, quality.judge, simhash.near_duplicates,
+    pii.find, mixing.mix, licenses.scan, lambda d: sharding.shard(d, sharding.even_tree()),
+    lambda d: packing.pack_documents(d, public_tokenizers.path(WORD_VOCABULARY)).drop("sequence_id", "offset")])
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_clashing_names(odd, work, rows):
+    lean = odd.select("doc_id", "text", "source").where("true" if rows == "odd" else "false")
+    extra = lean.select("*", *(F.array(F.lit(name)).alias(name) for name in CLASHES))
+    want, got = work(lean), work(extra)
+    if set(CLASHES) <= set(got.columns):                     # a stage: columns kept as they were
+        assert got.columns == extra.columns
+        assert all(r[name] == [name] for r in got.collect() for name in CLASHES)
+        got = got.select(lean.columns)
+    assert Counter(map(str, plain(got))) == Counter(map(str, plain(want)))
