@@ -6,7 +6,8 @@ merged, which bridges inserted and dropped words, and a merged span counts if en
 template's grams voted. Each hit is verified on its words when it is joined, so hash collisions never vote.
 
 Only DataFrame functions are used. The templates are a fixed list, so they are broadcast; texts never leave
-their task, only their hits do, with one row for each text.
+their task, only their hits do, with one row for each text. Hits are written once, so texts are read once and
+a row's number is the same for its head and its hits whatever becomes of an executor.
 
 Defined cases: a null or empty text, or one without words, has no words, no places and score 0; repeated rows are
 scanned each; an empty table gives an empty one; other input columns are ignored.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stage, text_or_empty
 
 GRAM = 3
 #: Words that may be inserted or dropped between neighbouring diagonals.
@@ -140,7 +141,7 @@ def spans(found: DataFrame, gram: int = GRAM, slack: int = SLACK) -> DataFrame:
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, enough: float = ENOUGH) -> DataFrame:
     """Counts, places and labels of every row; ``score`` is the best cover of any template."""
-    found = hits(docs, phrases, templates).repartition("row")
+    found = stage(hits(docs, phrases, templates), "license-hits").repartition("row")
     heads = found.where(F.col("template") == HEAD).select("row", "doc_id", "n_words")
     place = F.col("base") & (F.col("covered") == 1)
     counts = spans(found).groupBy("row").agg(
