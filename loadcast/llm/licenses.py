@@ -23,8 +23,9 @@ from .common import stage, text_or_empty
 GRAM = 3
 #: Words that may be inserted or dropped between neighbouring diagonals.
 SLACK = 2
-#: Share of a template's grams that must vote.
-ENOUGH = 0.8
+#: Share of a template's grams that must vote, its first and last among them. One word put into the shortest of
+#: the versioned ones leaves 5 of 7, which must not do.
+ENOUGH = 0.72
 HEAD = -1
 WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
@@ -35,7 +36,7 @@ PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 # Passages of public licenses and of the notices that refer to them. Those that differ
-# in a version number are short enough that another version stays under ENOUGH.
+# in a version number end with it, so the last gram tells them apart.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files the software to deal in the software without restriction"),
@@ -136,7 +137,8 @@ def spans(found: DataFrame, gram: int = GRAM, slack: int = SLACK) -> DataFrame:
     return merged.groupBy(*keys, "span").agg(
         F.bit_or("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last")).select(
         "row", "template", "label", "base", "first", (F.col("last") + gram - 1).alias("last"),
-        (F.bit_count("votes") / F.col("n_grams")).alias("covered"))
+        (F.bit_count("votes") / F.col("n_grams")).alias("covered"),
+        (F.getbit("votes", F.lit(0)) + F.getbit("votes", F.col("n_grams") - 1) == 2).alias("ends"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, enough: float = ENOUGH) -> DataFrame:
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, enough: float =
         F.count_if(place).alias("n_base"), F.min(F.when(place, F.col("first"))).alias("first_word"),
         F.max(F.when(place, F.col("first"))).alias("last_word"),
         F.collect_set(F.when(place, F.col("label"))).alias("base_labels"),
-        F.collect_set(F.when(place | (~F.col("base") & (F.col("covered") >= enough)), F.col("label"))).alias("labels"),
+        F.collect_set(F.when(place | (~F.col("base") & F.col("ends") & (F.col("covered") >= enough)), F.col("label"))).alias("labels"),
         F.max(F.when(place | ~F.col("base"), F.col("covered"))).alias("score"))
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     return heads.join(counts, "row", "left").select(
