@@ -11,7 +11,8 @@ from structure: text below ``article`` or ``main`` is article, text below ``nav`
 lends its words to pages of other layouts, so that the labeller has seen boxes that the sample lacks.
 
 Defined cases: a null or empty page, or one without article, has the empty text; repeated rows are extracted each;
-unclosed tags, a cut-off last tag and cut-off references are tolerated; an empty table gives an empty one; other columns
+unclosed tags, a cut-off last tag and cut-off references are tolerated: only script, style and textarea reach to the end of
+the page, ``head`` ends where the body begins; an empty table gives an empty one; other columns
 are ignored.
 """
 
@@ -42,7 +43,12 @@ DIM = PATH_DIM + WORD_DIM + NUMBERS
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = "script|style|noscript|template|head|svg|iframe|object|select|textarea|button"
+#: Elements whose content is not markup; without an end tag they reach to the end of the page.
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title")}
+#: Elements that are never text if they have an end tag.
+HIDDEN_TAGS = frozenset("noscript template svg iframe object select button".split())
+#: Elements that leave ``head`` open; any other one ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main menu nav ol p pre section table ul".split())
 # Words in class, id and role of boxes that are not article, and of boxes that are.
@@ -55,8 +61,8 @@ TEXT_WORDS = frozenset("article content entry post story body text main maincont
 BOX_TAGS = frozenset("nav footer aside form dialog menu".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({HIDDEN_TAGS})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I)
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)""", re.S)
 MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -74,6 +80,42 @@ def _mark_words(attributes: str) -> str:
     return "." + ".".join(re.split(r"[\s_-]+", words)) if words.strip() else ""
 
 
+def _tags(html: str) -> list[tuple[int, int, str | None, bool, str | None]]:
+    """(start, end, tag, closing, attributes) of all markup; no tag for comments and raw elements, which are whole.
+
+    The attributes are None where they are broken.
+    """
+    found, at, foreign = [], 0, 0
+    while m := TOKEN.search(html, at):
+        start, at = m.span()
+        tag, closing, attributes = m[2] or m[5], bool(m[1] or m[4]), m[3]
+        tag = tag and tag.lower()
+        empty = attributes is not None and attributes.endswith("/")
+        if tag in ("svg", "math") and not empty:
+            foreign = max(0, foreign - 1) if closing else foreign + 1
+        elif tag in RAW and not closing and not (foreign and empty):
+            end = RAW[tag].search(html, at)
+            if end or tag != "title":
+                tag, at = None, end.end() if end else len(html)
+        found.append((start, at, tag, closing, attributes))
+    return found
+
+
+def _hidden(tags: list) -> dict[int, int]:
+    """For each hidden element with an end tag, the places of both in ``tags``; a self-closed svg is its own end."""
+    pairs, waiting = {}, {tag: [] for tag in HIDDEN_TAGS}
+    for k, (_, _, tag, closing, attributes) in enumerate(tags):
+        if tag in waiting:
+            if closing:
+                if waiting[tag]:
+                    pairs[waiting[tag].pop()] = k
+            elif tag == "svg" and attributes is not None and attributes.endswith("/"):
+                pairs[k] = k
+            else:
+                waiting[tag].append(k)
+    return pairs
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order, with decoded text."""
     found, path, names, parts, linked, at = [], [], [], [], 0, 0
@@ -95,18 +137,34 @@ def blocks(html: str) -> list[Block]:
             if "a" in names[-3:]:
                 linked += len(text)
 
-    for m in TOKEN.finditer(html):
-        add(html[at:m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    tags = _tags(html)
+    hidden, shown, in_head, before = _hidden(tags), 0, False, None
+    for k, (start, end, tag, closing, attributes) in enumerate(tags):
+        if k < shown:
+            continue
+        text, at = html[at:start], end
+        if in_head and before != "title" and text.strip():
+            in_head = False
+        if not in_head:
+            add(text)
+        before = tag
+        if k in hidden:
+            if in_head and tag not in HEAD_TAGS:
+                in_head = False
+            shown, at = hidden[k] + 1, tags[hidden[k]][1]
+            continue
+        if tag == "head":
+            in_head = not closing
+            continue
+        if in_head and tag and not closing:
+            in_head = tag in HEAD_TAGS
+        if in_head or tag is None or attributes is None:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             close()
         elif tag == "br":
             parts.append(" ")
-        if m[2]:
+        if closing:
             if tag in names:
                 keep = len(names) - 1 - names[::-1].index(tag)
                 del path[keep:], names[keep:]
@@ -117,10 +175,11 @@ def blocks(html: str) -> list[Block]:
         elif tag in ("li", "td", "tr", "dt", "dd", "option") and names[-1:] == [tag]:
             path.pop()
             names.pop()
-        if tag not in VOID and not m[4].endswith("/"):
-            path.append(tag + _mark_words(m[4]))
+        if tag not in VOID and not attributes.endswith("/"):
+            path.append(tag + _mark_words(attributes))
             names.append(tag)
-    add(html[at:])
+    if not in_head or before != "title":
+        add(html[at:])
     close()
     return found
 

@@ -24,6 +24,17 @@ def test_blocks():
     assert [b.text for b in pages.blocks("<p title='a>b'>x<script>never closed <p>y")] == ["x"]
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>x <b>y</title><meta charset=utf-8><script>'<p>no'</script><body><p>one<p>two</body></html>",
+    "<html><head><title>x</title><article><p>one<p>two</article>", "<head><link rel=a>one<p>two",
+    "<p>one<svg width='1'/><p>two", "<p>one<svg><style/><title/><path d=''/></svg><p>two</p><style>no</style>",
+    "<p>one</p><svg><svg/>no<svg><g/></svg>no</svg><p>two</p><svg></svg>",
+    "<p>one<button><p>two<button>no</button>", "<p>one</p><iframe src=a /><p>two</p><iframe>no</iframe>",
+    "<title>no</title><p>one<object data=a><p>two", "<p>one<p>two<script src='a>no</script><textarea>no <p>no"])
+def test_left_out_end_tags(html):
+    assert [b.text for b in pages.blocks(html)] == ["one", "two"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = pages.Labeller(1, hidden=3)
