@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, done))
     if DIGIT.search(text):
         spans += [(1, *m.span()) for m in IP.finditer(text) if all(
-            len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+            len(d := p.lstrip("0") or "0") < 4 and int(d) < 256 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):

@@ -376,6 +376,11 @@ def test_base_spans(text):
     assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(text)] == plain_spans(text)
 
 
+def test_long_zeros_are_judged():
+    text = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(text) == [(pii.KINDS.index("ip"), 0, len(text))]
+
+
 def test_personal_data(docs):
     rows = pii.find(docs).collect()
     want = Counter()
