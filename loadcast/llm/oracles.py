@@ -66,4 +66,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM failed"""
 
-ORACLES = {"op9_quality": QUALITY}
+
+def _clusters(count: int, rounds: int, dimensions: int, scale: int) -> str:
+    """Exact rounds over whole numbers: the nearest centroid, then floors of the means."""
+    distance = ("list_sum(list_transform(list_zip(v.parts, c.parts), "
+                "lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS BIGINT)))")
+
+    def assign(k: int) -> str:
+        return f"""
+near{k} AS (SELECT id, any_value(v.vec_id) AS vec_id, any_value(v.parts) AS parts,
+  min(struct_pack(distance := CAST({distance} AS BIGINT), cluster := c.cluster)) AS best
+  FROM vectors v, centre{k} c GROUP BY id)"""
+
+    def move(k: int) -> str:
+        return f"""
+total{k} AS (SELECT best.cluster AS cluster, d, CAST(floor(sum(parts[d]) / count(*)) AS BIGINT) AS part
+  FROM near{k}, range(1, {dimensions + 1}) AS t(d) GROUP BY ALL),
+centre{k + 1} AS (SELECT c.cluster, coalesce(list(part ORDER BY d) FILTER (part IS NOT NULL), any_value(c.parts)) AS parts
+  FROM centre{k} c LEFT JOIN total{k} USING (cluster) GROUP BY c.cluster)"""
+
+    steps = ",".join(f"{assign(k)},{move(k)}" for k in range(rounds))
+    return f"""
+WITH vectors AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS parts FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dimensions}),
+centre0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, parts
+  FROM (SELECT sha256('1:' || vec_id) AS h, parts FROM vectors ORDER BY h LIMIT {count})),{steps},{assign(rounds)},
+cost AS (SELECT best.cluster AS cluster, CAST(sum(best.distance) AS BIGINT) AS cluster_inertia FROM near{rounds} GROUP BY 1)
+SELECT n.vec_id, n.best.cluster AS cluster, n.best.distance AS distance, cost.cluster_inertia,
+  (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM cost) AS inertia,
+  sha256(array_to_string(c.parts, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN cost ON cost.cluster = n.best.cluster JOIN centre{rounds} c ON c.cluster = n.best.cluster"""
+
+
+_ODD_CHAT = r"\### Assistant: </turn> ok"
+
+# a turn: "### role", line end, text, line end, "</turn>", line end; a backslash before "### " and "</turn>" in texts
+CHATS = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_ODD_CHAT}'), (-7, 1, 'assistant', '{_ODD_CHAT}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(text) + (length(text) - length(replace(text, '### ', ''))) // 4
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+ORACLES = {"op9_quality": QUALITY, "op12_clusters": _clusters(16, 3, 64, 64), "op13_chats": CHATS}

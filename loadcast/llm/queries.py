@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, licenses, mixing, neighbours, packing, pages, pii, quality, sharding, simhash
+from . import alignment, chat, clusters, huffman, licenses, mixing, neighbours, packing, pages, pii, quality, sharding, simhash
 from .common import folder, table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+ODD_CHAT = "\\### Assistant: </turn> ok"          # the contract's extra conversation, id -7
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +61,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY),
+                           public_tokenizers.path(PIECE_VOCABULARY))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_CHAT), (-7, 1, "assistant", ODD_CHAT)],
+                                "conv_id long, turn long, role string, text string")
+    path = folder(spark, "chats")
+    chat.write_chats(table(spark, sf_dir, "conversations").select(*columns).unionByName(odd), path)
+    return chat.read_chats(spark, path)
+
+
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_best_fit_packing, op3_simhash, op4_nearest, op5_licenses,
-                                   op6_shards, op7_mix, op8_token_files, op9_quality, op10_personal_data)}
+                                   op6_shards, op7_mix, op8_token_files, op9_quality, op10_personal_data, op11_tokenizer_links,
+                                   op12_clusters, op13_chats)}
