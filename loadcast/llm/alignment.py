@@ -6,14 +6,13 @@ tokens share how many bytes. Ordered by token, these links walk down both token
 both lists end at the same byte, and a new group begins. The products of group-incidence matrices, token ids by
 groups, give the shared-group links with their number of occurrences, without listing equal pairs of a group one by one.
 
-No piece of either vocabulary goes on past a word end, so a text with single spaces between its words is linked word
-by word, and a word is tokenised and multiplied once for each worker (``ChunkLinks``); any other text is linked as a
-whole, in windows cut where both lists end. What a text holds is then one more product: text-word counts times word-link
-counts.
+Texts are linked in windows that are cut where both lists end, so the byte matrices stay small however long a text is.
+No piece goes on past a word end, so where single spaces part a text's words, each distinct word goes through the piece
+tokenizer once and is then looked up; ``WORDS_KEPT`` bounds the memory of the lookup, never the result.
 
 Counts over all documents: texts are put in blocks. A block lists its distinct id pairs once, with how many of its
-documents hold them; these are added up over blocks, joined back to the blocks' distinct pairs (not to the documents'), and
-every block works out its documents' sums from its two sparse matrices.
+documents hold them, and keeps a sparse matrix of documents by pairs. The counts are added up over blocks and joined back
+to the blocks' distinct pairs (not to the documents'), and every block multiplies its matrix with them.
 
 Defined cases: a null or empty text, and one whose tokens do not spell a space and the text, has no tokens: zeros and an
 empty string. Repeated rows are documents each and count as such. An empty table gives no rows. Other columns are ignored.
@@ -36,14 +35,13 @@ from pyspark.sql import functions as F
 from .common import stage
 from .tokens import UNSAFE, slices
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
+SLICE_BYTES = 1_000_000
 WINDOW_BYTES = 250_000
-CHUNKS_KEPT = 150_000
-CHUNK_CHARS = 80
+WORDS_KEPT = 300_000
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
 BLOCK = ("part int, block int, doc_ids array<long>, " + ", ".join(f"{f} array<long>" for f in FACTS)
-         + ", groups_sha256 array<string>, text_starts binary, words binary, word_counts binary, "
-           "word_starts binary, links binary, link_counts binary, pairs array<long>, held array<int>")
+         + ", groups_sha256 array<string>, sizes binary, steps binary, repeats binary, pairs array<long>, held array<int>")
 RESULT = ("doc_id long, " + ", ".join(f"{f} long" for f in FACTS) + ", n_best long, count_sum long, "
           "groups_sha256 string")
 
@@ -61,13 +59,16 @@ class Csr:
     def of(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> "Csr":
         """From entries in any order; entries of the same place are added."""
         keys = rows * shape[1] + columns
-        if len(keys) and (np.diff(keys) < 0).any():
+        steps = np.diff(keys, prepend=-1)
+        if (steps < 0).any():
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, values = keys[first], (np.add.reduceat(values, first) if len(first) else values)
-        starts = np.searchsorted(keys, np.arange(shape[0] + 1) * shape[1])
-        return Csr(starts, keys % shape[1], values, shape[1])
+            keys, rows, columns, values = keys[order], rows[order], columns[order], values[order]
+            steps = np.diff(keys, prepend=-1)
+        if not steps.all():
+            first = np.flatnonzero(steps)
+            rows, columns, values = rows[first], columns[first], np.add.reduceat(values, first)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=shape[0]))])
+        return Csr(starts, columns, values, shape[1])
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
@@ -96,9 +97,16 @@ def token_bytes(ends: np.ndarray, first: int, stop: int) -> Csr:
     return Csr(starts, np.arange(size), np.ones(size, np.int64), size)
 
 
+def bytes_tokens(ends: np.ndarray, first: int, stop: int) -> Csr:
+    """The same transposed: a byte's row names its one token."""
+    size = stop - first
+    lengths = np.diff(ends, prepend=first)
+    return Csr(np.arange(size + 1), np.repeat(np.arange(len(ends)), lengths), np.ones(size, np.int64), len(ends))
+
+
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray, first: int, stop: int) -> Csr:
     """A-tokens by B-tokens: the number of bytes that they share."""
-    return token_bytes(a_ends, first, stop).product(token_bytes(b_ends, first, stop).transposed())
+    return token_bytes(a_ends, first, stop).product(bytes_tokens(b_ends, first, stop))
 
 
 def groups(links: Csr) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +140,32 @@ class Spellings:
         return self.bytes[np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(lengths.sum())], ends
 
 
+#: Every number below 2**17 in decimal, with a comma behind it.
+DECIMALS = Spellings([f"{k},".encode() for k in range(1 << 17)])
+
+
+@dataclass
+class Ragged:
+    """Lists of ids one after the other: list k ends before ``ends[k + 1]``."""
+
+    values: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(lists: list[list[int]]) -> "Ragged":
+        ends = np.cumsum([0, *map(len, lists)])
+        return Ragged(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1])), ends)
+
+    def and_then(self, other: "Ragged") -> "Ragged":
+        return Ragged(np.concatenate([self.values, other.values]),
+                      np.concatenate([self.ends, self.ends[-1] + other.ends[1:]]))
+
+    def take(self, lists: np.ndarray) -> "Ragged":
+        lengths = np.diff(self.ends)[lists]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return Ragged(self.values[np.repeat(self.ends[lists] - ends[:-1], lengths) + np.arange(ends[-1])], ends)
+
+
 class Tokenizers:
     """Both libraries, with the bytes of their ids."""
 
@@ -146,79 +180,110 @@ class Tokenizers:
         for token, number in self.a.get_vocab(with_added_tokens=False).items():
             spelled[number] = bytes(map(letters.__getitem__, token))
         self.a_bytes = Spellings(spelled)
+        self.slots: dict[str, int] = {}
+        self.words = Ragged.of([])
         self.b = SentencePieceProcessor(model_file=piece_vocabulary)
         pieces = range(self.b.get_piece_size())
         self.b_bytes = Spellings([bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k)
                                   else self.b.id_to_piece(k).replace("▁", " ").encode() for k in pieces])
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
-
+    def sizes(self) -> tuple[int, int]:
+        return len(self.a_bytes.lengths), len(self.b_bytes.lengths)
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([0, *map(len, lists)])
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1])), ends
+    def ids(self, texts: list[str]) -> tuple["Ragged", "Ragged"]:
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return Ragged.of([e.ids for e in a]), self.pieces(pa.array(texts, pa.string()))
+
+    def pieces(self, texts: pa.Array) -> "Ragged":
+        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        words = pc.list_flatten(split).dictionary_encode()
+        spelled = words.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.slots) > WORDS_KEPT:
+            self.slots, self.words = {}, Ragged.of([])
+        known = self.slots.get
+        slots = np.fromiter((known(w, -1) for w in spelled), np.int64, len(spelled))
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            new = spelled[unknown].tolist()
+            slots[unknown] = len(self.slots) + np.arange(len(new))
+            self.slots.update(zip(new, slots[unknown].tolist()))
+            self.words = self.words.and_then(Ragged.of(self.b.encode(new, num_threads=1)))
+        ids = self.words.take(slots[words.indices.to_numpy(zero_copy_only=False)])
+        word_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        by_word = Ragged(ids.values, ids.ends[word_ends.astype(np.int64)])
+        if not whole.any():
+            return by_word
+        alone = Ragged.of(self.b.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1))
+        return by_word.and_then(alone).take(np.where(whole, (~whole).sum() + np.cumsum(whole) - 1, np.cumsum(~whole) - 1))
 
 
 @dataclass
 class Linked:
-    """Chunks: whether both lists spell them, facts by name, groups as text, links as (chunk, pair) counts."""
+    """Texts: facts by name, hash of the groups, and links as (text, pair) counts, ordered by text and pair."""
 
-    valid: np.ndarray
     facts: np.ndarray
-    texts: list[str]
-    starts: np.ndarray
+    hashes: list[str]
+    sizes: np.ndarray
     pairs: np.ndarray
     counts: np.ndarray
 
 
-def link_chunks(tokenizers: Tokenizers, chunks: list[str]) -> Linked:
-    """Tokens, groups and shared-group links of chunks; a pair is ``a * size of B's vocabulary + b``."""
-    raw = [(" " + c).encode() for c in chunks]
-    a_lists, b_lists = tokenizers.ids(chunks)
-    valid = np.ones(len(chunks), bool)
-    for lists, spellings in ((a_lists, tokenizers.a_bytes), (b_lists, tokenizers.b_bytes)):
-        ids, ends = flat(lists)
-        spelled, token_ends = spellings.joined(ids)
-        ends = np.concatenate([[0], token_ends])[ends]
-        right = np.diff(ends) == [len(r) for r in raw]
-        if right.all() and np.array_equal(spelled, np.frombuffer(b"".join(raw), np.uint8)):
-            continue
-        spelled = spelled.tobytes()
-        valid &= [spelled[ends[k]:ends[k + 1]] == r for k, r in enumerate(raw)]
+def link_texts(tokenizers: Tokenizers, texts: list[str]) -> Linked:
+    """Tokens, groups and shared-group links of texts; a pair is ``a * size of B's vocabulary + b``."""
+    raw = [(" " + t).encode() for t in texts]
+    of_a, of_b = tokenizers.ids(texts)
+    valid = np.array([bool(t) for t in texts], bool)
+    for side, spellings in ((of_a, tokenizers.a_bytes), (of_b, tokenizers.b_bytes)):
+        valid &= spells(spellings, side, raw)
     kept = np.flatnonzero(valid)
-    (a, a_bounds), (b, b_bounds) = flat([a_lists[k] for k in kept]), flat([b_lists[k] for k in kept])
-    a_ends, b_ends = np.cumsum(tokenizers.a_bytes.lengths[a]), np.cumsum(tokenizers.b_bytes.lengths[b])
-    a_group, b_group = group_numbers(a_ends, b_ends)
+    if len(kept) < len(texts):
+        of_a, of_b = of_a.take(kept), of_b.take(kept)
+    a, a_bounds, b, b_bounds = of_a.values.astype(np.int64), of_a.ends, of_b.values.astype(np.int64), of_b.ends
+    a_group, b_group = group_numbers(np.cumsum(tokenizers.a_bytes.lengths[a]), np.cumsum(tokenizers.b_bytes.lengths[b]))
     n_groups = int(a_group[-1]) + 1 if len(a) else 0
-    chunk_of = np.repeat(np.arange(len(kept)), np.diff(a_bounds))
-    group_starts = a_group[a_bounds[:-1]] if len(kept) else np.zeros(0, np.int64)
-    width = len(tokenizers.b_bytes.lengths)
-    ones = np.ones(len(b), np.int64)
-    # (chunk, A-id) by group, times group by B-id
-    left_rows, left = np.unique(chunk_of * len(tokenizers.a_bytes.lengths) + a, return_inverse=True)
-    links = (Csr.of(left, a_group, np.ones(len(a), np.int64), (len(left_rows), n_groups))
-             .product(Csr.of(b_group, b, ones, (n_groups, width))))
-    row = left_rows[links.rows()]
-    chunk, pairs = row // len(tokenizers.a_bytes.lengths), row % len(tokenizers.a_bytes.lengths) * width + links.columns
-    starts = np.zeros(len(chunks) + 1, np.int64)
-    starts[kept + 1] = np.bincount(chunk, minlength=len(kept))
-    starts = np.cumsum(starts)
-    facts = np.zeros((len(chunks), len(FACTS)), np.int64)
-    facts[kept, 0], facts[kept, 1] = np.diff(a_bounds), np.diff(b_bounds)
-    facts[kept, 2] = np.diff(np.append(group_starts, n_groups))
-    total = np.concatenate([[0], np.cumsum(links.values)])
-    facts[:, 3] = total[starts[1:]] - total[starts[:-1]]
-    texts = [""] * len(chunks)
-    for k, text in zip(kept.tolist(), group_texts(a, b, a_group, b_group, np.append(group_starts, n_groups))):
-        texts[k] = text
-    return Linked(valid, facts, texts, starts, pairs, links.values)
+    bounds = np.append(a_group[a_bounds[:-1]], n_groups)
+    text_of, a_size, b_size = np.repeat(np.arange(len(kept)), np.diff(a_bounds)), *tokenizers.sizes()
+    # (text, A-id) by group, times group by B-id
+    row_keys, rows = ranked(text_of * a_size + a)
+    links = (Csr.of(rows, a_group, np.ones(len(a), np.int64), (len(row_keys), n_groups))
+             .product(Csr.of(b_group, b, np.ones(len(b), np.int64), (n_groups, b_size))))
+    keys = row_keys[links.rows()]
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[kept] = np.bincount(keys // a_size, minlength=len(kept))
+    facts = np.zeros((len(FACTS), len(texts)), np.int64)
+    facts[:3, kept] = np.diff(a_bounds), np.diff(b_bounds), np.diff(bounds)
+    total = np.concatenate([[0], np.cumsum(links.values)])[np.concatenate([[0], np.cumsum(sizes)])]
+    facts[3] = np.diff(total)
+    hashes = [""] * len(texts)
+    for k, text in zip(kept.tolist(), group_texts(a, b, a_group, b_group, a_bounds + b_bounds)):
+        hashes[k] = hashlib.sha256(text).hexdigest()
+    return Linked(facts, hashes, sizes, keys % a_size * b_size + links.columns, links.values)
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.diff(ordered, prepend=-1) != 0
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], places
+
+
+def spells(spellings: Spellings, lists: Ragged, raw: list[bytes]) -> np.ndarray:
+    """Which lists of ids spell their bytes."""
+    spelled, token_ends = spellings.joined(lists.values)
+    ends = np.concatenate([[0], token_ends])[lists.ends]
+    if np.array_equal(np.diff(ends), [len(r) for r in raw]) and spelled.tobytes() == b"".join(raw):
+        return np.ones(len(raw), bool)
+    spelled = spelled.tobytes()
+    return np.array([spelled[ends[k]:ends[k + 1]] == r for k, r in enumerate(raw)], bool)
 
 
 def group_numbers(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of every token, from overlap products of windows that end where both lists do."""
-    common = np.intersect1d(a_ends, b_ends)
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
     cuts = common[np.flatnonzero(np.diff(common // WINDOW_BYTES, append=-1))]
     a_group, b_group = np.zeros(len(a_ends), np.int64), np.zeros(len(b_ends), np.int64)
     first = before = 0
@@ -230,130 +295,49 @@ def group_numbers(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, n
     return a_group, b_group
 
 
-def group_texts(a, b, a_group, b_group, chunk_bounds):
-    """``a1,a2|b1;a3|b2`` of each chunk."""
-    n = int(chunk_bounds[-1])
-    a_cuts, b_cuts = np.searchsorted(a_group, np.arange(n + 1)).tolist(), np.searchsorted(b_group, np.arange(n + 1)).tolist()
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    parts = [f"{','.join(a[a_cuts[g]:a_cuts[g + 1]])}|{','.join(b[b_cuts[g]:b_cuts[g + 1]])}" for g in range(n)]
-    bounds = chunk_bounds.tolist()
-    return [";".join(parts[s:e]) for s, e in zip(bounds, bounds[1:])]
+def group_texts(a, b, a_group, b_group, bounds):
+    """``a1,a2|b1;a3|b2`` of each text: the ids of a group, A's before B's, each with the sign that follows it."""
+    places = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+    ids = np.concatenate([a, b])[places]
+    group = np.concatenate([a_group, b_group])[places]
+    of_b = places >= len(a)
+    lengths = DECIMALS.lengths[ids]
+    written, ends = DECIMALS.joined(ids)
+    written = written.copy()
+    last = ends - 1
+    written[last[:-1][~of_b[:-1] & of_b[1:]]] = ord("|")
+    written[last[:-1][group[:-1] != group[1:]]] = ord(";")
+    data, at = written.tobytes(), np.concatenate([[0], np.cumsum(lengths)])[bounds].tolist()
+    return [data[s:e - 1] for s, e in zip(at, at[1:])]
 
 
-class ChunkLinks:
-    """Links of chunks, each worked out once; ``CHUNKS_KEPT`` bounds the memory, never the result."""
+@lru_cache(maxsize=1)
+def tokenizer_pair(byte_vocabulary: str, piece_vocabulary: str) -> Tokenizers:
+    """One pair in a Python worker."""
+    return Tokenizers(byte_vocabulary, piece_vocabulary)
 
-    def __init__(self, byte_vocabulary: str, piece_vocabulary: str) -> None:
-        self.tokenizers = Tokenizers(byte_vocabulary, piece_vocabulary)
-        self.width = len(self.tokenizers.b_bytes.lengths)
-        self.known: dict[str, int] = {}
-        self.linked: list[Linked] = []
-        self.place: list[tuple[int, int]] = []
-
-    def of(self, chunks: list[str]) -> Linked:
-        """The chunks' links, in the given order; short ones are kept for later."""
-        if len(self.known) > CHUNKS_KEPT:
-            self.known, self.linked, self.place = {}, [], []
-        new = [c for c in chunks if len(c) <= CHUNK_CHARS and c not in self.known]
-        for some in ([new[k:k + 20_000] for k in range(0, len(new), 20_000)]):
-            self.place += [(len(self.linked), k) for k in range(len(some))]
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
-            self.linked.append(link_chunks(self.tokenizers, some))
-        sources, places, held, size = [*self.linked], [None] * len(chunks), [], 0
-        # long chunks are linked in lists of a bounded size
-        for k, chunk in enumerate(chunks):
-            if len(chunk) <= CHUNK_CHARS:
-                places[k] = self.place[self.known[chunk]]
-                continue
-            places[k] = len(sources), len(held)
-            held.append(chunk)
-            size += len(chunk)
-            if size > 4 * WINDOW_BYTES:
-                sources.append(link_chunks(self.tokenizers, held))
-                held, size = [], 0
-        if held:
-            sources.append(link_chunks(self.tokenizers, held))
-        return chosen(sources, places)
-
-
-def chosen(sources: list[Linked], places: list[tuple[int, int]]) -> Linked:
-    """Chunks from several lists, in the order of ``places``."""
-    where = np.array(places, np.int64).reshape(-1, 2)
-    n = len(where)
-    valid, facts, texts, lengths = np.zeros(n, bool), np.zeros((n, len(FACTS)), np.int64), [""] * n, np.zeros(n, np.int64)
-    of_source = {s: np.flatnonzero(where[:, 0] == s) for s in np.unique(where[:, 0]).tolist()}
-    for s, at in of_source.items():
-        own = where[at, 1]
-        valid[at], facts[at], lengths[at] = sources[s].valid[own], sources[s].facts[own], np.diff(sources[s].starts)[own]
-        for k, o in zip(at.tolist(), own.tolist()):
-            texts[k] = sources[s].texts[o]
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    pairs, counts = np.zeros(starts[-1], np.int64), np.zeros(starts[-1], np.int64)
-    for s, at in of_source.items():
-        own, sizes = where[at, 1], lengths[at]
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        take, put = np.repeat(sources[s].starts[own], sizes) + within, np.repeat(starts[at], sizes) + within
-        pairs[put], counts[put] = sources[s].pairs[take], sources[s].counts[take]
-    return Linked(valid, facts, texts, starts, pairs, counts)
 
+def packed(values: np.ndarray) -> pa.Array:
+    """One compressed cell of 32-bit numbers."""
+    data = values.astype("<i4").tobytes()
+    return pa.array([len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)], pa.binary())
 
-@lru_cache(maxsize=1)
-def chunk_links(byte_vocabulary: str, piece_vocabulary: str) -> ChunkLinks:
-    """One store of chunks in a Python worker."""
-    return ChunkLinks(byte_vocabulary, piece_vocabulary)
-
-
-def words_of(texts: pa.Array, whole: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, the words of all texts as places in them, and where each text begins; a whole text is one word."""
-    pieces = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
-    words = pc.list_flatten(pieces).dictionary_encode()
-    lengths = np.zeros(len(texts), np.int64)
-    lengths[~whole] = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
-    lengths[whole] = pc.greater(pc.binary_length(texts.filter(pa.array(whole))), 0).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.zeros(starts[-1], np.int64)
-    of_whole = np.repeat(whole, lengths)
-    index[~of_whole] = words.indices.to_numpy(zero_copy_only=False)
-    alone = [t for t in texts.filter(pa.array(whole)).to_pylist() if t]
-    index[of_whole] = len(words.dictionary) + np.arange(len(alone))
-    return words.dictionary.to_pylist() + alone, index, starts
-
-
-def block_row(links: ChunkLinks, batch: pa.RecordBatch, part: int, block: int) -> pa.RecordBatch:
-    """The facts of the texts of a block, its distinct pairs, and the two matrices that their sums come from."""
-    texts = pc.fill_null(batch.column("text"), "")
-    whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False) | (
-        pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0)
-    while True:
-        chunks, index, starts = words_of(texts, whole)
-        linked = links.of(chunks)
-        wrong = np.concatenate([[0], np.cumsum(~linked.valid[index])])
-        spoilt = wrong[starts[1:]] > wrong[starts[:-1]]
-        if not (spoilt & ~whole).any():
-            break
-        whole |= spoilt                               # a word that is spelled otherwise: judge the text as a whole
-    n = len(texts)
-    facts = np.stack([np.diff(np.concatenate([[0], np.cumsum(linked.facts[index, f])])[starts])
-                      for f in range(len(FACTS))])
-    shas, bounds = [""] * n, starts.tolist()
-    spelled, places = linked.texts, index.tolist()
-    for k in range(n):
-        if facts[0, k]:
-            own = ";".join(map(spelled.__getitem__, places[bounds[k]:bounds[k + 1]]))
-            shas[k] = hashlib.sha256(own.encode()).hexdigest()
-    rows = np.repeat(np.arange(n), np.diff(starts))
-    text_words = Csr.of(rows, index, np.ones(len(index), np.int64), (n, len(chunks)))
-    pairs, which = np.unique(linked.pairs, return_inverse=True)
-    word_links = Csr(linked.starts, which, linked.counts, len(pairs))
-    # the links' places in the product tell which texts hold them
-    held = np.bincount(text_words.product(word_links).columns, minlength=len(pairs))
-    stored = [text_words.starts, text_words.columns, text_words.values, word_links.starts, which, linked.counts]
-    ints = pa.list_(pa.int64())
+
+def unpacked(cell: bytes) -> np.ndarray:
+    data = pa.decompress(cell[8:], int.from_bytes(cell[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(data, "<i4").astype(np.int64)
+
+
+def block_row(doc_ids: list, parts: list[Linked], part: int, block: int) -> pa.RecordBatch:
+    """The facts of a block's texts, its distinct pairs, and its matrix of texts by pairs, in steps from pair to pair."""
+    pairs, which = ranked(np.concatenate([p.pairs for p in parts]))
+    held = np.bincount(which, minlength=len(pairs))
+    ints, facts = pa.list_(pa.int64()), np.concatenate([p.facts for p in parts], axis=1)
+    stored = [np.concatenate([p.sizes for p in parts]), np.diff(which, prepend=0), np.concatenate([p.counts for p in parts])]
     return pa.RecordBatch.from_arrays([
-        pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([batch.column("doc_id").to_pylist()], ints),
-        *(pa.array([f], ints) for f in facts), pa.array([shas], pa.list_(pa.string())),
-        *(pa.array([s.astype("<i4").tobytes()], pa.binary()) for s in stored),
-        pa.array([pairs], ints), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
+        pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], ints),
+        *(pa.array([f], ints) for f in facts), pa.array([[h for p in parts for h in p.hashes]], pa.list_(pa.string())),
+        *map(packed, stored), pa.array([pairs], ints), pa.array([held.astype(np.int32)], pa.list_(pa.int32()))],
         names=[c.split()[0] for c in BLOCK.split(", ")])
 
 
@@ -361,11 +345,19 @@ def linked_blocks(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str)
     """Texts in blocks of about ``BLOCK_BYTES``; see ``BLOCK``."""
     def link(batches):
         part, block = TaskContext.get().partitionId(), 0
-        links = chunk_links(byte_vocabulary, piece_vocabulary)
+        tokenizers = tokenizer_pair(byte_vocabulary, piece_vocabulary)
+        doc_ids, parts, size = [], [], 0
         for batch in batches:
-            for some in slices(batch, "text", BLOCK_BYTES):
-                yield block_row(links, some, part, block)
-                block += 1
+            for some in slices(batch, "text", SLICE_BYTES):
+                texts = pc.fill_null(some.column("text"), "")
+                parts.append(link_texts(tokenizers, texts.to_numpy(zero_copy_only=False).tolist()))
+                doc_ids += some.column("doc_id").to_pylist()
+                size += pc.sum(pc.binary_length(texts)).as_py() + some.num_rows
+                if size >= BLOCK_BYTES:
+                    yield block_row(doc_ids, parts, part, block)
+                    block, doc_ids, parts, size = block + 1, [], [], 0
+        if parts:
+            yield block_row(doc_ids, parts, part, block)
 
     return docs.select("doc_id", "text").mapInArrow(link, BLOCK)
 
@@ -389,16 +381,13 @@ def with_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k] for name in batch.schema.names}
-                stored = {name: np.frombuffer(row[name].as_buffer(), "<i4").astype(np.int64)
-                          for name in ("text_starts", "words", "word_counts", "word_starts", "links", "link_counts")}
+                sizes, steps, counts = (unpacked(row[c].as_py()) for c in ("sizes", "steps", "repeats"))
                 n, best = (np.asarray(row[c].as_py() or [], np.int64) for c in ("n", "best"))
-                word_links = Csr(stored["word_starts"], stored["links"], stored["link_counts"], len(n))
-                text_words = Csr(stored["text_starts"], stored["words"], stored["word_counts"], len(word_links.starts) - 1)
+                links = Csr(np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(steps), counts, len(n))
                 yield pa.RecordBatch.from_arrays([
-                    row["doc_ids"].values, *(row[f].values for f in FACTS),
-                    pa.array(text_words.times(word_links.times(best)), pa.int64()),
-                    pa.array(text_words.times(word_links.times(n)), pa.int64()),
-                    row["groups_sha256"].values], names=[c.split()[0] for c in RESULT.split(", ")])
+                    row["doc_ids"].values, *(row[f].values for f in FACTS), pa.array(links.times(best), pa.int64()),
+                    pa.array(links.times(n), pa.int64()), row["groups_sha256"].values],
+                    names=[c.split()[0] for c in RESULT.split(", ")])
 
     return blocks.drop("pairs", "held").join(answers, ["part", "block"], "left").mapInArrow(sums, RESULT)
 

@@ -36,7 +36,8 @@ def plain_links(rows):
     for doc_id, text in rows:
         (a, b), raw = ([], []), (" " + (text or "")).encode()
         if text:
-            a, b = (lists[0] for lists in tools.ids([text]))
+            a = tools.a.encode(" " + text, add_special_tokens=False).ids
+            b = tools.b.encode(text)
         of_a, of_b = spelled(tools.a_bytes, a), spelled(tools.b_bytes, b)
         if not text or b"".join(of_a) != raw or b"".join(of_b) != raw:
             found.append((doc_id, 0, 0, 0, Counter(), ""))
@@ -74,15 +75,17 @@ def test_links(spark, texts, sf):
     assert pairs == plain_links([(r.doc_id, r.text) for r in texts.select("doc_id", "text").collect()])[1]
 
 
-def test_links_in_small_windows_and_blocks(spark, texts, monkeypatch):
-    want = sorted((tuple(r) for r in alignment.align(texts, BYTES, PIECES).collect()), key=str)
-    links = alignment.ChunkLinks(BYTES, PIECES)
-    usual = links.of([t for t in TEXTS if t])
-    monkeypatch.setattr(alignment, "WINDOW_BYTES", 7)
-    monkeypatch.setattr(alignment, "CHUNK_CHARS", 4)
-    small = alignment.ChunkLinks(BYTES, PIECES).of([t for t in TEXTS if t])
-    assert usual.texts == small.texts and (usual.facts == small.facts).all() and (usual.pairs == small.pairs).all()
-    assert len(want) == len(TEXTS) + 2
+def test_links_in_small_windows():
+    tools, texts = alignment.Tokenizers(BYTES, PIECES), [t or "" for t in TEXTS]
+    usual = alignment.link_texts(tools, texts)
+    alignment.WINDOW_BYTES, kept = 7, alignment.WINDOW_BYTES
+    try:
+        small = alignment.link_texts(tools, texts)
+    finally:
+        alignment.WINDOW_BYTES = kept
+    assert usual.hashes == small.hashes and (usual.facts == small.facts).all() and (usual.pairs == small.pairs).all()
+    singly = [alignment.link_texts(tools, [t]) for t in texts]
+    assert usual.hashes == [s.hashes[0] for s in singly] and usual.facts.T.tolist() == [s.facts[:, 0].tolist() for s in singly]
 
 
 def test_sparse_products():
@@ -94,6 +97,9 @@ def test_sparse_products():
         dense = np.zeros((7, 6), np.int64)
         dense[product.rows(), product.columns] = product.values
         assert (dense == a @ b).all() and (sparse[0].transposed().times(np.arange(7)) == a.T @ np.arange(7)).all()
+    ends = np.array([3, 5, 9])
+    turned, listed = alignment.token_bytes(ends, 0, 9).transposed(), alignment.bytes_tokens(ends, 0, 9)
+    assert (turned.starts == listed.starts).all() and (turned.columns == listed.columns).all()
     # tokens of 3, 2, 4 bytes against 1, 4, 4: shared bytes
     links = alignment.overlaps(np.array([3, 5, 9]), np.array([1, 5, 9]), 0, 9)
     assert list(zip(links.rows().tolist(), links.columns.tolist(), links.values.tolist())) == [
