@@ -10,6 +10,7 @@ goes through the library as a whole.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -32,7 +33,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([UNSAFE, *(f"(?i:{re.escape(a)})" for a in added)])
         self.chunks_kept = chunks_kept
         self._forget()
 
@@ -67,13 +69,16 @@ class ChunkTokenizer:
             self.slots.update(zip(some, range(first, first + len(some))))
             first += len(some)
 
-    def _slots_of(self, chunks: list[str]) -> np.ndarray:
+    def _slots_of(self, chunks: np.ndarray) -> np.ndarray:
         if len(self.slots) + len(chunks) > self.chunks_kept:
             self._forget()
-        known = self.slots
-        if unknown := [c for c in chunks if c not in known]:
-            self._learn(unknown)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        known = self.slots.get
+        slots = np.fromiter((known(c, -1) for c in chunks), np.int64, len(chunks))
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            slots[unknown] = len(self.slots) + np.arange(len(unknown))
+            self._learn(chunks[unknown].tolist())
+        return slots
 
     def _safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.split_pattern(texts, " ")
@@ -87,7 +92,7 @@ class ChunkTokenizer:
         spelled = spelled.take(pa.array((used >> 1) + (used & 1) * len(words.dictionary)))
         cut = pc.split_pattern(pc.replace_substring_regex(spelled, INNER_CUT, "\\1" + CUT + "\\2"), CUT)
         parts = pc.list_flatten(cut).dictionary_encode()
-        slots = self._slots_of(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        slots = self._slots_of(parts.dictionary.to_numpy(zero_copy_only=False))[parts.indices.to_numpy(zero_copy_only=False)]
         word_ids, word_ends = self._gather(self.pool, self.starts[slots], self.lengths[slots])
         part_ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
         word_ends = np.concatenate([[0], word_ends])[part_ends]
@@ -111,7 +116,7 @@ class ChunkTokenizer:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         if not unsafe.any():
             return self._safe(texts)
         ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
