@@ -3,8 +3,8 @@
 ``write_corpus`` tokenises documents in ascending ``doc_id``, counts every id of the corpus, derives one
 code (package-merge, at most ``max_bits`` a code) and writes Parquet files of independent blocks: the
 bit stream, the ids of each document, and the bit offset of every ``LANE`` ids. ``read_corpus`` decodes
-the blocks with a table of ``2 ** max_bits`` entries; the bit offsets let all lanes of a block
-advance side by side. Neither keeps more than a batch of blocks in memory; a block is closed at
+the blocks with a table of ``2 ** max_bits`` entries; the bit offsets, of 64 bits, let all lanes of a block
+advance side by side. Ids are counted in the pass that tokenises; a task adds one row with its counts. Neither keeps more than a batch of blocks in memory; a block is closed at
 ``block_ids`` ids and never splits a document.
 
 Defined cases: a null or empty text is the end id alone; a null ``doc_id`` comes first; repeated rows are
@@ -97,7 +97,7 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tup
         rest = (shifted & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         over = np.flatnonzero(rest)
         words[word[over] + 1] |= rest[over]
-    return words.astype(">u4").tobytes(), at[::LANE].astype("<u4").tobytes()
+    return words.astype(">u4").tobytes(), at[::LANE].astype("<i8").tobytes()
 
 
 def decode_blocks(bits: list[bytes], checkpoints: list[bytes], sizes: list[int], table) -> list[np.ndarray]:
@@ -107,7 +107,7 @@ def decode_blocks(bits: list[bytes], checkpoints: list[bytes], sizes: list[int],
     streams = [np.frombuffer(b, ">u4") for b in bits]
     starts = np.cumsum([0, *map(len, streams)])
     words = np.concatenate([*streams, np.zeros(2, ">u4")]).astype(np.uint64)
-    lanes = [np.frombuffer(c, "<u4").astype(np.int64) for c in checkpoints]
+    lanes = [np.frombuffer(c, "<i8") for c in checkpoints]
     place = np.concatenate([lane + 32 * s for lane, s in zip(lanes, starts)] or [np.zeros(0, np.int64)])
     left = np.concatenate([np.minimum(LANE, n - LANE * np.arange(len(lane)))
                            for lane, n in zip(lanes, sizes)] or [np.zeros(0, np.int64)])
@@ -123,56 +123,72 @@ def decode_blocks(bits: list[bytes], checkpoints: list[bytes], sizes: list[int],
     return np.split(flat, np.cumsum(sizes)[:-1]) if sizes else []
 
 
+COUNTS = -1                     # the number of the row that holds a task's counts in place of a block
+
+
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int) -> DataFrame:
-    """Blocks of ids in ascending ``doc_id``; ``before`` counts the ids before it in its part."""
+    """Blocks of ids in ascending ``doc_id``; ``before`` counts the ids before it in its part.
 
-    def tokenise(batches):
-        part, block, before = TaskContext.get().partitionId(), 0, 0
-        library = tokenizer(tokenizer_path)
-        doc_ids, n_ids, held = [], [], []
+    The last row of a part, numbered ``COUNTS``, holds how often each id stands in it, as 64-bit numbers.
+    """
+    names = [c.split()[0] for c in RAW.replace(" array<long>", "").split(", ")]
 
-        def close():
-            ids = np.concatenate(held).astype("<u4").tobytes()
-            return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
-                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_ids], pa.list_(pa.int64())),
-                pa.array([ids], pa.binary())], names=["part", "block", "before", "doc_ids", "n_ids", "ids"])
+    def row(part, block, before, doc_ids, n_ids, data):
+        return pa.RecordBatch.from_arrays([
+            pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+            pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_ids], pa.list_(pa.int64())),
+            pa.array([data], pa.binary())], names=names)
 
+    def tokenise(batches):
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        library, total = tokenizer(tokenizer_path), np.zeros(0, np.int64)
+        doc_ids, n_ids, ids = (np.zeros(0, kind) for kind in (object, np.int64, np.uint32))     # the open block
         for batch in (s for b in batches for s in slices(b, "text")):
             flat, counts = library.encode(batch.column("text"))
-            stop = 0
-            for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
-                held.append(np.append(flat[stop:stop + n], np.uint32(end_id)))
-                stop += n
-                doc_ids.append(doc_id)
-                n_ids.append(n + 1)
-                if sum(n_ids) >= block_ids:
-                    yield close()
-                    block, before = block + 1, before + sum(n_ids)
-                    doc_ids, n_ids, held = [], [], []
-        if doc_ids:
-            yield close()
+            flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+            total = added(total, np.bincount(flat))
+            ids = np.concatenate([ids, flat])
+            n_ids = np.concatenate([n_ids, counts + 1])
+            doc_ids = np.concatenate([doc_ids, np.array(batch.column("doc_id").to_pylist(), object)])
+            ends, first, closed = np.cumsum(n_ids), 0, 0
+            # a block is closed by the document that fills it
+            while (last := int(np.searchsorted(ends, closed + block_ids))) < len(ends):
+                stop = int(ends[last])
+                yield row(part, block, before, doc_ids[first:last + 1].tolist(), n_ids[first:last + 1],
+                          ids[closed:stop].astype("<u4").tobytes())
+                block, before, first, closed = block + 1, before + stop - closed, last + 1, stop
+            doc_ids, n_ids, ids = doc_ids[first:], n_ids[first:], ids[closed:]
+        if len(doc_ids):
+            yield row(part, block, before, doc_ids.tolist(), n_ids, ids.astype("<u4").tobytes())
+        yield row(part, COUNTS, 0, [], [], total.astype("<i8").tobytes())
 
     mixed = F.xxhash64("text")
     return (docs.select("doc_id", "text").repartitionByRange("doc_id", mixed)
             .sortWithinPartitions("doc_id", mixed).mapInArrow(tokenise, RAW))
 
 
-def id_counts(blocks: DataFrame) -> DataFrame:
-    """How often each id stands in all blocks; every task sends one count an id at most."""
+def added(some: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The sum of two arrays that may differ in length."""
+    long, short = (some, more) if len(some) > len(more) else (more, some)
+    total = long.astype(np.int64)
+    total[:len(short)] += short
+    return total
+
+
+def id_counts(raw: DataFrame) -> DataFrame:
+    """How often each id stands in all parts; every task sends one count an id at most."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-                own[:len(total)] += total
-                total = own
+            for part in batch.column("ids"):
+                total = added(total, np.frombuffer(part.as_buffer(), "<i8"))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())],
                                          names=["id", "n"])
 
-    return blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    parts = raw.where(F.col("block") == COUNTS).select("ids")
+    return parts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, max_bits: int = 16,
@@ -181,8 +197,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     raw = folder(spark, "token-blocks")
     token_blocks(docs, tokenizer_path, end_id, block_ids).write.option("compression", "zstd").parquet(raw)
-    blocks = spark.read.schema(RAW).parquet(raw)
-    found = id_counts(blocks).collect()
+    written = spark.read.schema(RAW).parquet(raw)
+    blocks = written.where(F.col("block") != COUNTS)
+    found = id_counts(written).collect()
     counts = np.zeros(max((r.id for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r.id] = r.n

@@ -52,7 +52,6 @@ def plain(df):
 
 def ids_of(vocabulary, text):
     library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    library.encode_special_tokens = True
     return library.encode(text, add_special_tokens=False).ids
 
 
@@ -425,3 +424,29 @@ def test_clashing_names(odd, work, rows):
         assert all(r[name] == [name] for r in got.collect() for name in CLASHES)
         got = got.select(lean.columns)
     assert Counter(map(str, plain(got))) == Counter(map(str, plain(want)))
+
+
+def test_strings_of_added_tokens_are_the_library_s_to_read(spark):
+    """Both vocabularies' own strings, doubled, inside words and in other letters, as the unswitched library reads them."""
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"see {end} here", f"a{end}b", end + end, f"{start}x {end}", end.upper(), f" {end}", "<|end oftext|>", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for vocabulary, end_id in ((BYTE_VOCABULARY, 2), (WORD_VOCABULARY, 0)):
+        want = [ids_of(vocabulary, t) for t in texts]
+        assert any(max(i) >= 49406 for i in want)
+        path = folder(spark, "test-added")
+        huffman.write_corpus(docs, path, public_tokenizers.path(vocabulary), end_id=end_id)
+        got = {r.doc_id: r for r in huffman.read_corpus(spark, path).collect()}
+        assert [got[k].ids_crc32 for k in range(len(texts))] == [crc([*i, end_id]) for i in want]
+    pieces = packing.pack_documents(docs, public_tokenizers.path(WORD_VOCABULARY)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in pieces} == {k: crc([*ids_of(WORD_VOCABULARY, t), 0]) for k, t in enumerate(texts)}
+
+
+def test_many_short_documents_in_a_block(spark):
+    """A block of one-id documents costs its ids, not their square."""
+    docs = spark.range(70_000).selectExpr("id as doc_id", "if(id % 7 = 0, null, '') as text").coalesce(1)
+    path = folder(spark, "test-short")
+    huffman.write_corpus(docs, path, public_tokenizers.path(BYTE_VOCABULARY))
+    got = huffman.read_corpus(spark, path)
+    assert got.where("n_tokens = 1 and start = doc_id").count() == 70_000
+    assert [r.ids_crc32 for r in got.select("ids_crc32").distinct().collect()] == [crc([2])]
