@@ -7,8 +7,8 @@ both lists end at the same byte, and a new group begins. The products of group-i
 groups, give the shared-group links with their number of occurrences, without listing equal pairs of a group one by one.
 
 Texts are linked in windows that are cut where both lists end, so the byte matrices stay small however long a text is.
-No piece goes on past a word end, so where single spaces part a text's words, each distinct word goes through the piece
-tokenizer once and is then looked up; ``WORDS_KEPT`` bounds the memory of the lookup, never the result.
+No token of either vocabulary goes on past a word end, so where single spaces part a text's words, each distinct word
+goes through the libraries once and is then looked up; ``WORDS_KEPT`` bounds the memory of the lookup, never the result.
 
 Counts over all documents: texts are put in blocks. A block lists its distinct id pairs once, with how many of its
 documents hold them, and keeps a sparse matrix of documents by pairs. The counts are added up over blocks and joined back
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import UNSAFE, slices
+from .tokens import UNSAFE, load_library, slices
 
 BLOCK_BYTES = 6_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 200_000
 WINDOW_BYTES = 250_000
 WORDS_KEPT = 300_000
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -171,9 +171,8 @@ class Tokenizers:
 
     def __init__(self, byte_vocabulary: str, piece_vocabulary: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_vocabulary)
+        self.a = load_library(byte_vocabulary)
         self.a.encode_special_tokens = True
         letters = letters_of_bytes()
         spelled = [b""] * self.a.get_vocab_size()
@@ -181,7 +180,7 @@ class Tokenizers:
             spelled[number] = bytes(map(letters.__getitem__, token))
         self.a_bytes = Spellings(spelled)
         self.slots: dict[str, int] = {}
-        self.words = Ragged.of([])
+        self.words = [Ragged.of([]), Ragged.of([])]
         self.b = SentencePieceProcessor(model_file=piece_vocabulary)
         pieces = range(self.b.get_piece_size())
         self.b_bytes = Spellings([bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k)
@@ -190,17 +189,20 @@ class Tokenizers:
     def sizes(self) -> tuple[int, int]:
         return len(self.a_bytes.lengths), len(self.b_bytes.lengths)
 
-    def ids(self, texts: list[str]) -> tuple["Ragged", "Ragged"]:
+    def libraries(self, texts: list[str]) -> tuple[Ragged, Ragged]:
+        """The ids of a space and each text, from the libraries themselves."""
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return Ragged.of([e.ids for e in a]), self.pieces(pa.array(texts, pa.string()))
+        return Ragged.of([e.ids for e in a]), Ragged.of(self.b.encode(texts, num_threads=1))
 
-    def pieces(self, texts: pa.Array) -> "Ragged":
+    def ids(self, texts: list[str]) -> list[Ragged]:
+        """The same, word by word where single spaces part the words."""
+        texts = pa.array(texts, pa.string())
         whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
         words = pc.list_flatten(split).dictionary_encode()
         spelled = words.dictionary.to_numpy(zero_copy_only=False)
         if len(self.slots) > WORDS_KEPT:
-            self.slots, self.words = {}, Ragged.of([])
+            self.slots, self.words = {}, [Ragged.of([]), Ragged.of([])]
         known = self.slots.get
         slots = np.fromiter((known(w, -1) for w in spelled), np.int64, len(spelled))
         unknown = np.flatnonzero(slots < 0)
@@ -208,14 +210,15 @@ class Tokenizers:
             new = spelled[unknown].tolist()
             slots[unknown] = len(self.slots) + np.arange(len(new))
             self.slots.update(zip(new, slots[unknown].tolist()))
-            self.words = self.words.and_then(Ragged.of(self.b.encode(new, num_threads=1)))
-        ids = self.words.take(slots[words.indices.to_numpy(zero_copy_only=False)])
-        word_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        by_word = Ragged(ids.values, ids.ends[word_ends.astype(np.int64)])
-        if not whole.any():
-            return by_word
-        alone = Ragged.of(self.b.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1))
-        return by_word.and_then(alone).take(np.where(whole, (~whole).sum() + np.cumsum(whole) - 1, np.cumsum(~whole) - 1))
+            self.words = [w.and_then(n) for w, n in zip(self.words, self.libraries(new))]
+        at = slots[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
+        found = [Ragged(some.values, some.ends[ends]) for some in (w.take(at) for w in self.words)]
+        if whole.any():
+            alone = self.libraries(texts.filter(pa.array(whole)).to_pylist())
+            order = np.where(whole, (~whole).sum() + np.cumsum(whole) - 1, np.cumsum(~whole) - 1)
+            found = [f.and_then(o).take(order) for f, o in zip(found, alone)]
+        return found
 
 
 @dataclass

@@ -155,11 +155,11 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: i
             while (last := int(np.searchsorted(ends, closed + block_ids))) < len(ends):
                 stop = int(ends[last])
                 yield row(part, block, before, doc_ids[first:last + 1].tolist(), n_ids[first:last + 1],
-                          ids[closed:stop].astype("<u4").tobytes())
+                          short(ids[closed:stop]))
                 block, before, first, closed = block + 1, before + stop - closed, last + 1, stop
             doc_ids, n_ids, ids = doc_ids[first:], n_ids[first:], ids[closed:]
         if len(doc_ids):
-            yield row(part, block, before, doc_ids.tolist(), n_ids, ids.astype("<u4").tobytes())
+            yield row(part, block, before, doc_ids.tolist(), n_ids, short(ids))
         yield row(part, COUNTS, 0, [], [], total.astype("<i8").tobytes())
 
     mixed = F.xxhash64("text")
@@ -167,6 +167,15 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: i
             .sortWithinPartitions("doc_id", mixed).mapInArrow(tokenise, RAW))
 
 
+def short(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit numbers where all of them fit, else as 32-bit ones."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def ids_of(data, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
 def added(some: np.ndarray, more: np.ndarray) -> np.ndarray:
     """The sum of two arrays that may differ in length."""
     long, short = (some, more) if len(some) > len(more) else (more, some)
@@ -210,8 +219,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches):
         codes, lengths = code.codes(), code.lengths
         for batch in batches:
-            done = [encode_block(np.frombuffer(b.as_buffer(), "<u4"), codes, lengths)
-                    for b in batch.column("ids")]
+            done = [encode_block(ids_of(b.as_buffer(), sum(n)), codes, lengths)
+                    for b, n in zip(batch.column("ids"), batch.column("n_ids").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(5)), pa.array([d[0] for d in done], pa.binary()),
                  pa.array([d[1] for d in done], pa.binary())],

@@ -10,6 +10,7 @@ goes through the library as a whole.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -26,13 +27,19 @@ SLICE_BYTES = 8_000_000
 CHUNKS_KEPT = 800_000
 
 
+def load_library(path: str):
+    """The tokenizers library for a vocabulary; threads of its own would only compete with the other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class ChunkTokenizer:
     """The ids of texts; ``chunks_kept`` bounds the memory of the lookup, never the result."""
 
     def __init__(self, path: str, chunks_kept: int = CHUNKS_KEPT) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = load_library(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.unsafe = "|".join([UNSAFE, *(f"(?i:{re.escape(a)})" for a in added)])
         self.chunks_kept = chunks_kept
