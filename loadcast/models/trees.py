@@ -2,44 +2,28 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loadcast.models.boosting import FOREST, ROW, TARGET, UNIT, Forest, Settings, fit_forests, forest_rows, forests_of
 from loadcast.models.level import LEVEL, apply_level, fill_level_input, fit_level
 from loadcast.operators.metrics import PRED
-from loadcast.schema import AUTOREGRESSIVE, CLIMATE, INDUSTRIAL, LOAD, SUB, mode_features
+from loadcast.schema import AUTOREGRESSIVE, DAY, LOAD, SUB, mode_features
 from loadcast.session import written
 
 RESPONSE = "resposta_climatica"
 FORECAST = "previsao_mwmed"
-MISSING_FLAG = "clima_ausente"
-ROUNDS = 600
-
-# fixed values: boosting settings; the L2 penalty of 1.0 has no counterpart in Spark ML
-BOOSTING = {"maxIter": ROUNDS, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": 42}
+RECORD = f"modo string, {SUB} string, ano_treino int, atributos array<string>, caminho string"
 
 
 class MissingModel(Exception):
     """No fitted package for this mode and region."""
 
 
-def tree_pipeline(mode: str, features: list[str], **overrides) -> Pipeline:
-    """Estimator for a mode; keyword arguments override the boosting settings."""
-    mode_features(mode, features)       # rejects unknown modes
-    settings = {**BOOSTING, **overrides}
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=[*features, MISSING_FLAG], outputCol="features"),
-        GBTRegressor(featuresCol="features", labelCol="label", predictionCol="arvores", **settings)])
-
-
 def label_column(mode: str) -> F.Column:
     """What the trees learn: load minus level, or load minus yesterday's load."""
     return F.col(LOAD) - F.col(LEVEL if mode == "climatico" else "carga_ontem")
@@ -47,42 +31,41 @@ def label_column(mode: str) -> F.Column:
 
 @dataclass
 class Package:
-    """All regions of one mode: level and fill values as small tables, one tree model per region."""
+    """All regions of one mode: the level as a small table, one forest per region."""
 
     mode: str
     features: list[str]
     level: DataFrame
-    fills: DataFrame
-    trees: dict[str, PipelineModel]
-
-    def prepare(self, df: DataFrame) -> DataFrame:
-        """The level from its own input, then the medians that the trees need for missing values."""
-        return fill_missing(apply_level(df, self.level), self.fills, self.features)
+    trees: dict[str, Forest]
+    train_year: int | None = None
 
     def decompose(self, df: DataFrame) -> DataFrame:
         """Adds level, climate response and their sum; in delta modes yesterday and the change."""
         base = F.col(LEVEL) if self.mode == "climatico" else F.col("carga_ontem")
-        return self.score(self.prepare(df)).withColumn(FORECAST, base + F.col(RESPONSE))
+        return self.score(apply_level(df, self.level)).withColumn(FORECAST, base + F.col(RESPONSE))
 
     def fitted(self, df: DataFrame) -> DataFrame:
         """The rows of regions that have a model; forecasting any other row is an error."""
         return df.filter(F.col(SUB).isin(list(self.trees)))
 
     def score(self, prepared: DataFrame) -> DataFrame:
-        """One pass over the rows, whatever the number of regions.
-
-        Each region's model adds its own column to the same plan. Every such column is used once,
-        inside the branch of its region, so a row is scored only by its own region's trees.
-        """
-        columns = prepared.columns
-        assembler = next(iter(self.trees.values())).stages[0]
-        unfitted = F.raise_error(F.concat(F.lit("no fitted model for region "), F.col(SUB)))
-        scored, response = assembler.transform(prepared), unfitted.cast("double")
-        for region, model in self.trees.items():
-            output = f"arvores_{region}"
-            scored = model.stages[-1].copy().setPredictionCol(output).transform(scored)
-            response = F.when(F.col(SUB) == region, F.col(output)).otherwise(response)
-        return scored.select(*[c for c in columns if c != MISSING_FLAG], response.alias(RESPONSE))
+        """One pass over the rows in Arrow batches; a row is scored by its own region's trees, missing values as such."""
+        shared = prepared.sparkSession.sparkContext.broadcast(self.trees)       # rounds x nodes x regions
+
+        @F.pandas_udf("double")
+        def respond(region: pd.Series, *columns: pd.Series) -> pd.Series:
+            out = np.full(len(region), np.nan)
+            inputs = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns])
+            for name, forest in shared.value.items():
+                own = np.flatnonzero(region == name)
+                if len(own):
+                    out[own] = forest.predict(inputs[own])
+            return pd.Series(out)
+
+        unfitted = F.raise_error(F.concat(F.lit("no fitted model for region "), F.col(SUB))).cast("double")
+        answer = respond(SUB, *[F.col(f).cast("double") for f in self.features])
+        return prepared.withColumn(RESPONSE, answer).withColumn(
+            RESPONSE, F.when(F.col(SUB).isin(list(self.trees)), F.col(RESPONSE)).otherwise(unfitted))
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.decompose(df).withColumnRenamed(FORECAST, PRED)
@@ -93,81 +76,65 @@ class Package:
 
     def importance(self, spark: SparkSession) -> DataFrame:
         """(region, feature, importance): one row per model input, driver-sized by construction."""
-        rows = [(region, name, float(model.stages[-1].featureImportances[i]))
-                for region, model in self.trees.items()
-                for i, name in enumerate([*self.features, MISSING_FLAG])]
+        rows = [(region, name, float(share)) for region, forest in self.trees.items()
+                for name, share in zip(self.features, forest.importance(len(self.features)))]
         return spark.createDataFrame(rows, f"{SUB} string, atributo string, importancia double")
 
     def save(self, path: str) -> None:
-        def write(item):
-            region, model = item
-            model.write().overwrite().save(f"{path}/{self.mode}_{region}")
-
-        with ThreadPoolExecutor(len(self.trees)) as pool:
-            list(pool.map(write, self.trees.items()))
-        self.level.write.mode("overwrite").parquet(f"{path}/{self.mode}_level")
-        self.fills.select(SUB, *fillable(self.features)).write.mode("overwrite").parquet(
-            f"{path}/{self.mode}_fills")
-
-
-def fillable(features: list[str]) -> list[str]:
-    return [c for c in features if c in CLIMATE + INDUSTRIAL + AUTOREGRESSIVE]
+        """Trees, level, and last a record of mode, region, train year and features for each model."""
+        spark, folder = self.level.sparkSession, f"{path}/{self.mode}"
+        rows = [r for region, forest in self.trees.items() for r in forest_rows(region, forest)]
+        spark.createDataFrame(rows, FOREST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/trees")
+        self.level.write.mode("overwrite").parquet(f"{folder}/level")
+        record = [(self.mode, region, self.train_year, self.features, folder) for region in self.trees]
+        spark.createDataFrame(record, RECORD).coalesce(1).write.mode("overwrite").parquet(f"{folder}/record")
+
+
+def fit_package(mode: str, train: DataFrame, **overrides) -> Package:
+    """Fit one mode for all regions of a training table; keyword arguments override the boosting settings."""
+    features, settings = mode_features(mode, train.columns), Settings(**overrides)
+    needed = [LOAD] + (AUTOREGRESSIVE if mode != "climatico" else [])
+    train = fill_level_input(train.dropna(subset=needed))
+    level = fit_level(train)
+    target = F.round(label_column(mode) * UNIT).cast("long")
+    rows = written(apply_level(train, level).select(SUB, F.xxhash64(SUB, DAY).alias(ROW), target.alias(TARGET),
+                                                    F.year(DAY).alias("ano_do_dia"), *features))
+    year = rows.agg(F.max("ano_do_dia")).first()[0]
+    return Package(mode, features, level, fit_forests(rows.drop("ano_do_dia"), features, settings), year)
 
 
-def fill_values(train: DataFrame, features: list[str]) -> DataFrame:
-    """Median of every numeric input per region; zero where a region has none at all."""
-    return train.groupBy(SUB).agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c)
-                                    for c in fillable(features)])
+def load_package(spark: SparkSession, path: str, mode: str, regions: list[str]) -> Package:
+    folder = f"{path}/{mode}"
+    try:
+        record = spark.read.schema(RECORD).parquet(f"{folder}/record").collect()
+    except Exception as error:
+        raise MissingModel(f"no fitted model for {mode} in {path}") from error
+    if absent := sorted(set(regions) - {r[SUB] for r in record}):
+        raise MissingModel(f"no fitted model for {mode}/{', '.join(absent)} in {path}")
+    trees = spark.read.schema(FOREST).parquet(f"{folder}/trees").filter(F.col(SUB).isin(regions))
+    return Package(mode, list(record[0]["atributos"]), spark.read.parquet(f"{folder}/level"),
+                   forests_of(trees.collect()), record[0]["ano_treino"])
 
 
-def fill_missing(df: DataFrame, fills: DataFrame, features: list[str]) -> DataFrame:
-    """Spark's trees do not take missing values: use the region's median and flag missing climate."""
-    cols = fillable(features)
-    small = fills.select(SUB, *[F.col(c).alias(f"fill_{c}") for c in cols])
-    flag = F.col("temp_mean").isNull().cast("double")
-    return (df.withColumn(MISSING_FLAG, flag).join(F.broadcast(small), SUB, "left")       # a row per region
-            .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"fill_{c}"), F.lit(0.0)) for c in cols})
-            .drop(*[f"fill_{c}" for c in cols]))
+def registered_models(spark: SparkSession, paths: list[str], modes: list[str]) -> DataFrame:
+    """The records of all packages below some folders; a folder without a mode is passed over by its reader alone."""
+    return spark.read.schema(RECORD).parquet(*[f"{p}/{m}/record" for p in paths for m in modes])
 
 
-def fit_package(mode: str, train: DataFrame, regions: list[str], parallelism: int = 5,
-                **overrides) -> Package:
-    """Fit one mode for all regions from one training table.
+def model_as_of(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked (mode, region, year) the model of the latest train year before it; none is an error.
 
-    Level and fill values of all regions come from one aggregate each. The tree fits of the
-    regions are independent Spark jobs, submitted side by side.
+    Records are one row a mode, region and train year, so the join multiplies a question by at most the years on record.
     """
-    features = mode_features(mode, train.columns)
-    needed = [LOAD] + (AUTOREGRESSIVE if mode != "climatico" else [])
-    train = fill_level_input(train.dropna(subset=needed))
-    package = Package(mode, features, fit_level(train), fill_values(train, features), {})
-    labelled = (package.prepare(train).withColumn("label", label_column(mode))
-                .select(SUB, "label", *features, MISSING_FLAG))
-    labelled = written(labelled, by=SUB)         # boosting reads it many times
-    pipeline = tree_pipeline(mode, features, **overrides)
-
-    def fit(region: str):
-        rows = labelled.filter(F.col(SUB) == region).drop(SUB)
-        return region, (pipeline.fit(rows) if rows.head(1) else None)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        package.trees = {region: model for region, model in pool.map(fit, regions) if model}
-    return package
-
-
-def load_package(spark: SparkSession, path: str, mode: str, regions: list[str]) -> Package:
-    def load(region: str) -> PipelineModel:
-        try:
-            return PipelineModel.load(f"{path}/{mode}_{region}")
-        except Exception as error:
-            raise MissingModel(f"no fitted model for {mode}/{region} in {path}") from error
-
-    with ThreadPoolExecutor(len(regions)) as pool:
-        trees = dict(zip(regions, pool.map(load, regions)))
-    level = spark.read.parquet(f"{path}/{mode}_level")
-    fills = spark.read.parquet(f"{path}/{mode}_fills")
-    features = [c for c in next(iter(trees.values())).stages[0].getInputCols() if c != MISSING_FLAG]
-    return Package(mode, features, level, fills, trees)
+    known = records.select("modo", SUB, "ano_treino", "atributos", "caminho")
+    best = (asked.join(known, ["modo", SUB], "left")
+            .filter(F.col("ano_treino").isNull() | (F.col("ano_treino") < F.col("ano")))
+            .groupBy("modo", SUB, "ano").agg(F.max("ano_treino").alias("ano_treino"),
+                                             F.max_by("atributos", "ano_treino").alias("atributos"),
+                                             F.max_by("caminho", "ano_treino").alias("caminho")))
+    none = F.raise_error(F.concat_ws(" ", F.lit("no fitted model for"), "modo", SUB, F.lit("before"), "ano")).cast("int")
+    return asked.join(best, ["modo", SUB, "ano"], "left").withColumn(
+        "ano_treino", F.coalesce("ano_treino", none))
 
 
 def top_features(package: Package, spark: SparkSession, top: int | None = 5) -> DataFrame:
@@ -175,46 +142,3 @@ def top_features(package: Package, spark: SparkSession, top: int | None = 5) ->
     order = Window.partitionBy(SUB).orderBy(F.desc("importancia"), "atributo")
     ranked = package.importance(spark).withColumn("posicao", F.row_number().over(order))
     return ranked if top is None else ranked.filter(F.col("posicao") <= top)
-
-
-NodeArrays = dict[str, np.ndarray]
-
-
-def node_arrays(spark: SparkSession, model_path: str) -> NodeArrays:
-    """Flat arrays (tree x node) of a saved model. Collects rounds x nodes rows, fixed by settings."""
-    stage = f"{model_path}/stages/1_*"
-    nodes = spark.read.parquet(f"{stage}/data").select("treeID", "nodeData.*").select(
-        "treeID", "id", "prediction", "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("feature"),
-        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).toPandas()
-    weights = spark.read.parquet(f"{stage}/treesMetadata").toPandas().sort_values("_1")["_3"]
-    shape = (len(weights), int(nodes["id"].max()) + 1)
-    tree, node = nodes["treeID"].to_numpy(), nodes["id"].to_numpy()
-
-    def grid(column, fill, kind):
-        out = np.full(shape, fill, dtype=kind)
-        out[tree, node] = nodes[column].fillna(fill).to_numpy()
-        return out
-
-    return {"weights": weights.to_numpy(), "feature": grid("feature", 0, int),
-            "threshold": grid("threshold", 0.0, float), "left": grid("leftChild", -1, int),
-            "right": grid("rightChild", -1, int), "value": grid("prediction", 0.0, float)}
-
-
-def node_walker():
-    """A function of (arrays, inputs) that walks all trees at once, one step per level of depth.
-
-    Returned as a closure so that it travels to the tasks by value.
-    """
-    def walk(arrays, x):
-        weights, left, right = arrays["weights"], arrays["left"], arrays["right"]
-        at = np.zeros(len(weights), dtype=int)
-        tree = np.arange(len(weights))
-        while True:
-            inner = left[tree, at] >= 0
-            if not inner.any():
-                return float(weights @ arrays["value"][tree, at])
-            t, n = tree[inner], at[inner]
-            goes_left = x[arrays["feature"][t, n]] <= arrays["threshold"][t, n]
-            at[inner] = np.where(goes_left, left[t, n], right[t, n])
-    return walk

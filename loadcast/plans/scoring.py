@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.models.trees import MISSING_FLAG, Package, fill_missing, node_arrays, node_walker
+from loadcast.models.trees import Package
 from loadcast.operators.metrics import (MODE, PRED, baseline_predictions, bottom_up, class_gain,
                                         forecast_metrics)
 from loadcast.operators.recursive import recursive_forecast
@@ -17,21 +17,19 @@ def by_mode(predictions: DataFrame, mode: str) -> DataFrame:
     return predictions.select(SUB, DAY, LOAD, F.lit(mode).alias(MODE), PRED)
 
 
-def recursive_with_trees(spark: SparkSession, package: Package, model_folder: str,
-                         test: DataFrame) -> DataFrame:
+def recursive_with_trees(package: Package, test: DataFrame) -> DataFrame:
     """Recursive forecast of the delta model; its trees travel to the tasks as flat arrays."""
-    names = [*package.features, MISSING_FLAG]
-    trees = {r: node_arrays(spark, f"{model_folder}/{package.mode}_{r}") for r in package.trees}
-    shared = spark.sparkContext.broadcast(trees)        # rounds x nodes x regions, fixed by settings
-    walk = node_walker()
+    names, mode = package.features, package.mode
+    shared = test.sparkSession.sparkContext.broadcast(package.trees)        # rounds x nodes x regions, fixed by settings
 
     def step(region, row):
-        inputs = np.array([row[n] for n in names], dtype=float)
-        return row["carga_ontem"] + walk(shared.value[region], inputs)
+        if region not in shared.value:
+            raise ValueError(f"no fitted model for region {region} in {mode}")
+        inputs = np.array([[np.nan if row[n] is None else row[n] for n in names]], dtype=float)
+        return row["carga_ontem"] + float(shared.value[region].predict(inputs)[0])
 
-    exogenous = [c for c in package.features if c not in AUTOREGRESSIVE]
-    filled = fill_missing(test, package.fills, exogenous).filter(F.col(SUB).isin(list(trees)))
-    return recursive_forecast(filled, [*exogenous, MISSING_FLAG], step)
+    exogenous = [c for c in names if c not in AUTOREGRESSIVE]
+    return recursive_forecast(test, exogenous, step)
 
 
 def score(predictions: DataFrame, summed_modes: list[str]) -> DataFrame:

@@ -647,7 +647,7 @@ FROM teste""")
 # the flag of missing climate is one more input of the trees
 PLACES = f"(VALUES ('climatico', {len(FEATURES) - 3}), ('delta_d1', {len(FEATURES)})) t(modo, n)"
 oracle("importance_totals", "treino", f"""
-SELECT id_subsistema, modo, CAST(1 AS DOUBLE) AS total, CAST(n + 1 AS BIGINT) AS atributos, CAST(n + 1 AS BIGINT) AS posicoes
+SELECT id_subsistema, modo, CAST(1 AS DOUBLE) AS total, CAST(n AS BIGINT) AS atributos, CAST(n AS BIGINT) AS posicoes
 FROM (SELECT DISTINCT id_subsistema FROM treino), {PLACES}""")
 oracle("permutation_places", "teste", f"""
 SELECT id_subsistema, modo, CAST(n AS BIGINT) AS colunas, CAST(n AS INTEGER) AS ultima

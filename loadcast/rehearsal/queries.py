@@ -35,7 +35,6 @@ from loadcast.sources.stations import read_stations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ROUNDS = 20                 # boosting rounds in the registered model queries; see the README for the time of 600
 LEVEL_DIGITS = 3            # regression results lose digits to cancellation
 
 
@@ -664,9 +663,7 @@ def package(spark, sf, mode) -> Package:
     """Fitted once per application, saved, and loaded back from the saved models."""
     key = (spark.sparkContext.applicationId, sf, mode)
     if key not in _packages:
-        train = train_rows(spark, sf)
-        regions = [r[0] for r in train.select(SUB).distinct().collect()]     # at most five
-        fitted = fit_package(mode, train, regions, maxIter=ROUNDS)
+        fitted = fit_package(mode, train_rows(spark, sf))
         fitted.save(model_folder(spark, sf))
         _packages[key] = load_package(spark, model_folder(spark, sf), mode, list(fitted.trees))
     return _packages[key]
@@ -701,8 +698,7 @@ def feature_ranking(spark, sf):
 
 
 def tree_recursive(spark, sf):
-    return scoring.recursive_with_trees(spark, package(spark, sf, "delta_d1"),
-                                        model_folder(spark, sf), test_rows(spark, sf))
+    return scoring.recursive_with_trees(package(spark, sf, "delta_d1"), test_rows(spark, sf))
 
 
 @query()

@@ -1,15 +1,17 @@
 """Level and tree models, baselines, metrics, shuffle tests and recursion."""
 
+from dataclasses import replace
 from datetime import date
 from math import sqrt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import days, rows
 from loadcast.functions.calendar import calendar_features
-from loadcast.models import level, trees
+from loadcast.models import boosting, level, trees
 from loadcast.operators import metrics, permutation, series
 from loadcast.operators.metrics import MODE, PRED
 from loadcast.operators.recursive import recursive_forecast
@@ -51,13 +53,13 @@ def split(panel):
 
 @pytest.fixture(scope="module")
 def climatic(split):
-    return trees.fit_package("climatico", split[0], ["N", "SE"], maxIter=8)
+    return trees.fit_package("climatico", split[0], rounds=8)
 
 
 @pytest.fixture(scope="module")
 def delta(spark, split, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("models"))
-    trees.fit_package("delta_d1", split[0], ["N", "SE"], maxIter=8).save(folder)
+    trees.fit_package("delta_d1", split[0], rounds=8).save(folder)
     return trees.load_package(spark, folder, "delta_d1", ["N", "SE"]), folder
 
 
@@ -130,14 +132,118 @@ def test_level_plus_response_is_the_forecast(climatic, split):
 
 def test_one_pass_scoring_equals_each_regions_own_model(climatic, split):
     together = {(r[SUB], r[DAY]): r[trees.RESPONSE] for r in climatic.decompose(split[1]).collect()}
-    prepared = climatic.prepare(split[1])
-    for region, model in climatic.trees.items():
-        for r in model.transform(prepared.filter(F.col(SUB) == region)).collect():
-            assert together[(region, r[DAY])] == r.arvores
+    for region, forest in climatic.trees.items():
+        own = split[1].filter(F.col(SUB) == region).select(DAY, *climatic.features).toPandas()
+        alone = forest.predict(own[climatic.features].to_numpy(dtype=float, na_value=np.nan))
+        assert [together[(region, d)] for d in own[DAY]] == alone.tolist()
     plan = climatic.decompose(split[1])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Union") == 0
 
 
+def plain_boosting(rows, features, s):
+    """One region's trees from nested loops over rows: the definition, without bins or arrays."""
+    predicted = [sum(r["y"] for r in rows) // len(rows)] * len(rows)
+    edges = [sorted({r[f] for r in rows if r[f] is not None}) for f in features]
+
+    def tree(members, depth):
+        grad = {i: predicted[i] - rows[i]["y"] for i in members}
+        total = sum(grad.values())
+        best = (0, None)
+        for f, name in enumerate(features if depth < s.depth else []):
+            for missing_left in (False, True):
+                for edge in edges[f]:
+                    left = [i for i in members if (missing_left if rows[i][name] is None else rows[i][name] <= edge)]
+                    if s.min_child <= len(left) <= len(members) - s.min_child:
+                        over = total - sum(grad[i] for i in left)
+                        score = (sum(grad[i] for i in left) ** 2 / (len(left) + s.l2)
+                                 + over ** 2 / (len(members) - len(left) + s.l2) - total ** 2 / (len(members) + s.l2))
+                        if score > best[0]:
+                            best = (score, left)
+        if best[1] is None:
+            return {i: round(-s.rate * total / (len(members) + s.l2)) for i in members}
+        right = [i for i in members if i not in set(best[1])]
+        return tree(best[1], depth + 1) | tree(right, depth + 1)
+
+    for _ in range(s.rounds):
+        step = tree(list(range(len(rows))), 0)
+        predicted = [p + step[i] for i, p in enumerate(predicted)]
+    return predicted
+
+
+@pytest.fixture(scope="module")
+def boosting_rows(spark, tmp_path_factory):
+    rng = np.random.default_rng(3)
+    data = []
+    for region in ("N", "SE", "S"):
+        for i in range(60):
+            a, b = int(rng.integers(0, 9)), round(float(rng.normal()), 2)
+            c = None if rng.random() < 0.3 else float(rng.integers(0, 4))
+            y = int(1024 * (30 * a + 50 * (b > 0) + (400 if c is None else 20 * c) + rng.integers(0, 9)))
+            data.append((region, i + 1000, y, a, b, c))
+    path = str(tmp_path_factory.mktemp("boost") / "rows")
+    schema = f"{SUB} string, {boosting.ROW} long, {boosting.TARGET} long, a int, b double, c double"
+    spark.createDataFrame(data, schema).repartition(5).write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def test_boosting_equals_nested_loops(boosting_rows):
+    s = boosting.Settings(rounds=6, depth=3, rows=1.0, columns=1.0, rate=0.3)
+    forests = boosting.fit_forests(boosting_rows[0], ["a", "b", "c"], s)
+    for region, forest in forests.items():
+        own = [r.asDict() | {"y": r[boosting.TARGET]} for r in boosting_rows[0].filter(F.col(SUB) == region).collect()]
+        inputs = np.array([[np.nan if r[k] is None else r[k] for k in "abc"] for r in own], float)
+        assert (forest.predict(inputs) * boosting.UNIT).tolist() == plain_boosting(own, ["a", "b", "c"], s)
+
+
+def test_level_aggregates_give_the_same_trees(boosting_rows):
+    s = boosting.Settings(rounds=5, depth=3, bins=16, settle_rounds=2)
+    apart = boosting.fit_forests(boosting_rows[0], ["a", "b", "c"], s)
+    together = boosting.fit_forests(boosting_rows[0], ["a", "b", "c"], replace(s, local_rows=10))
+    assert set(apart) == set(together) == {"N", "SE", "S"}
+    for region in apart:
+        assert boosting.forest_rows(region, apart[region]).__repr__() == boosting.forest_rows(region, together[region]).__repr__()
+
+
+def test_root_splits_equal_sql(boosting_rows):
+    """The first split of every region, from sums that DuckDB takes."""
+    s = boosting.Settings(rounds=1, rows=1.0, columns=1.0)
+    forests = boosting.fit_forests(boosting_rows[0], ["a", "b", "c"], s)
+    sql = f"""
+      WITH t AS (SELECT {SUB} AS region, r.{boosting.TARGET} AS y, f, v FROM '{boosting_rows[1]}/*.parquet' r,
+             LATERAL (VALUES (0, a::DOUBLE), (1, b), (2, c)) x(f, v)),
+      g AS (SELECT *, floor(avg(y) OVER (PARTITION BY region)) - y AS g FROM t),
+      e AS (SELECT DISTINCT region, f, v AS edge FROM t WHERE v IS NOT NULL),
+      l AS (SELECT e.region, e.f, edge, m.m, sum(g) FILTER (coalesce(v <= edge, m.m)) AS gl,
+              count(*) FILTER (coalesce(v <= edge, m.m)) AS hl, sum(g) AS gt, count(*) AS ht
+            FROM e JOIN g ON g.region = e.region AND g.f = e.f, (VALUES (false), (true)) m(m) GROUP BY ALL)
+      SELECT region, f, edge, m FROM l WHERE hl >= 5 AND ht - hl >= 5
+      QUALIFY row_number() OVER (PARTITION BY region ORDER BY
+        gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, f, m, edge) = 1"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    assert {r: (int(f.feature[0, 0]), float(f.threshold[0, 0]), bool(f.missing_left[0, 0])) for r, f in forests.items()} == want
+
+
+def test_registry_looks_up_by_year(spark, climatic, delta, tmp_path):
+    climatic.save(str(tmp_path / "a"))
+    replace(climatic, train_year=2020).save(str(tmp_path / "b"))
+    records = trees.registered_models(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["climatico"])
+    asked = spark.createDataFrame([("climatico", "N", 2021), ("climatico", "N", 2024), ("climatico", "SE", 2030)],
+                                  f"modo string, {SUB} string, ano int")
+    got = {(r[SUB], r.ano): r for r in trees.model_as_of(records, asked).collect()}
+    assert {k: r.ano_treino for k, r in got.items()} == {("N", 2021): 2020, ("N", 2024): 2020, ("SE", 2030): 2024}
+    assert got[("SE", 2030)].atributos == climatic.features
+    with pytest.raises(Exception, match="no fitted model for climatico N before 2020"):
+        trees.model_as_of(records, asked.withColumn("ano", F.lit(2020))).collect()
+
+
+def test_rows_of_unfitted_regions_are_errors(climatic, delta, split):
+    with pytest.raises(Exception, match="no fitted model for region|no fitted level|XX"):
+        climatic.predict(split[1].withColumn(SUB, F.lit("XX"))).collect()
+    with pytest.raises(Exception, match="no fitted model for region XX"):
+        scoring.recursive_with_trees(delta[0], split[1].withColumn(SUB, F.lit("XX")).filter("dia_do_mes >= 0" if "dia_do_mes" in
+                                     split[1].columns else "true").dropDuplicates([DAY])).collect()
+
+
 def test_hotter_days_are_forecast_higher(climatic, split):
     scored = climatic.predict(split[1]).withColumn("hot", F.col("temp_mean") > 26)
     by = {(r[SUB], r.hot): r.m for r in scored.groupBy(SUB, "hot").agg(F.avg(F.col(PRED) - F.col(level.LEVEL)).alias("m")).collect()}
@@ -155,8 +261,8 @@ def test_importance_and_unknown_modes(spark, climatic):
     total = climatic.importance(spark).groupBy(SUB).agg(F.sum("importancia").alias("t")).collect()
     assert [r.t for r in total] == pytest.approx([1.0, 1.0])
     with pytest.raises(ValueError):
-        trees.tree_pipeline("outro", ["mes"])
-    assert trees.tree_pipeline("climatico", ["mes"], maxIter=3).getStages()[1].getMaxIter() == 3
+        trees.fit_package("outro", climatic.level)
+    assert trees.Settings(rounds=3) == replace(trees.Settings(), rounds=3) and trees.Settings().rounds == 600
     assert not set(climatic.features) & set(AUTOREGRESSIVE)
 
 
@@ -172,13 +278,8 @@ def test_saved_delta_model_and_arrays_agree(spark, delta, split):
     for r in scored.limit(50).collect():
         assert r[trees.FORECAST] == pytest.approx(r.carga_ontem + r[trees.RESPONSE])
     assert package.predict_delta(test).filter(F.col("delta").isNull()).count() == 0
-    names = [*package.features, trees.MISSING_FLAG]
-    prepared = package.prepare(test)
-    walk = trees.node_walker()
-    for region, model in package.trees.items():
-        arrays = trees.node_arrays(spark, f"{folder}/delta_d1_{region}")
-        for r in model.transform(prepared.filter(F.col(SUB) == region)).collect():
-            assert walk(arrays, np.array([r[n] for n in names], dtype=float)) == pytest.approx(r.arvores)
+    again = trees.load_package(spark, folder, "delta_d1", ["N"])
+    assert list(again.trees) == ["N"] and again.train_year == 2024 and again.features == package.features
 
 
 # shuffling
@@ -235,7 +336,7 @@ def test_recursion_checks_its_seed(spark):
 def test_score_sheet_with_all_modes(spark, climatic, delta, split):
     package, folder = delta
     train, test = split
-    recursive = scoring.recursive_with_trees(spark, package, folder, test).join(test.select(SUB, DAY, LOAD), [SUB, DAY])
+    recursive = scoring.recursive_with_trees(package, test).join(test.select(SUB, DAY, LOAD), [SUB, DAY])
     sheet = scoring.score_sheet(train, test, {"climatico": climatic.predict(test),
                                               "delta_d1": package.predict(test.dropna(subset=AUTOREGRESSIVE)),
                                               "delta_recursivo": recursive})
