@@ -53,8 +53,10 @@ def user_folder(spark: SparkSession, sf: str) -> str:
         _, rejected = normalize_inputs(rows)
         marked = rows.join(rejected.select("o_orderkey", "motivo"), "o_orderkey", "left")
         def save(part: DataFrame, folder: str, separator: str, encoding: str) -> None:
-            (part.select("regiao", "data", "temperatura", F.col("o_orderkey").alias("pedido"))
-             .write.mode("overwrite").csv(f"{path}/{folder}", sep=separator, header=True, encoding=encoding))
+            # a note with quotes and a line break in every fifth row
+            note = F.when(F.col("o_orderkey") % 5 == 0, f'ver "anexo"{separator}\ncontinua; aqui').otherwise("ok")
+            (part.select("regiao", note.alias("nota"), "data", "temperatura", F.col("o_orderkey").alias("pedido"))
+             .write.mode("overwrite").csv(f"{path}/{folder}", sep=separator, header=True, encoding=encoding, escape='"'))
         turn = F.pmod(F.xxhash64("o_orderkey"), F.lit(len(DIALECTS)))
         for i, dialect in enumerate(DIALECTS):
             save(marked.filter(F.col("motivo").isNull() & (turn == i)), *dialect)
@@ -65,6 +67,8 @@ def user_folder(spark: SparkSession, sf: str) -> str:
         header.select(F.lit("regiao")).coalesce(1).write.mode("overwrite").text(f"{path}/narrow")
         header.select(F.explode(F.array(F.lit("regiao;valor"), F.lit("N;1")))).coalesce(1).write.mode(
             "overwrite").text(f"{path}/no-date")
+        header.select(F.explode(F.array(F.lit("regiao;data;nota"), F.lit('N;1/1/2020;"aberta')))).coalesce(1).write.mode(
+            "overwrite").text(f"{path}/open-quote")
         header.limit(0).coalesce(1).write.mode("overwrite").text(f"{path}/zero-bytes")
     return _once(spark, sf, "user-folder", write)
 

@@ -375,7 +375,9 @@ SELECT CAST(user_id % 12 AS INTEGER) AS estacao, CAST(ts AS DATE) AS din_instant
 FROM events""")
 oracle("user_folder_scan", "aceito", f"SELECT {KEY}, {r('temp_mean')} FROM aceito")
 oracle("user_file_rejects", "", """
-SELECT unnest(['unknown_region', 'bad_date', 'empty', 'dialect', 'missing_column']) AS motivo""")
+SELECT pasta, motivo, true AS arquivos FROM (VALUES ('unknown_region', 'unknown_region'), ('bad_date', 'bad_date'),
+  ('only-header', 'empty'), ('zero-bytes', 'empty'), ('narrow', 'dialect'), ('no-date', 'missing_column'),
+  ('open-quote', 'quotes')) t(pasta, motivo)""")
 oracle("normalize_label", "usuario", """
 SELECT o_orderkey, upper(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS maiuscula,
        lower(strip_accents(trim(regexp_replace(regiao, '\\s+', ' ', 'g')))) AS minuscula FROM usuario""")
@@ -644,7 +646,6 @@ WHERE carga_ontem IS NOT NULL AND carga_lag7 IS NOT NULL AND media_7d IS NOT NUL
 oracle("recursive_seed", "teste", f"""
 SELECT {KEY}, CASE WHEN row_number() OVER ({BY_SUB}) <= 7 THEN round({LOAD}, 3) + 0.0 END AS semente, TRUE AS previsto
 FROM teste""")
-# the flag of missing climate is one more input of the trees
 PLACES = f"(VALUES ('climatico', {len(FEATURES) - 3}), ('delta_d1', {len(FEATURES)})) t(modo, n)"
 oracle("importance_totals", "treino", f"""
 SELECT id_subsistema, modo, CAST(1 AS DOUBLE) AS total, CAST(n AS BIGINT) AS atributos, CAST(n AS BIGINT) AS posicoes

@@ -113,9 +113,10 @@ def user_folder_scan(spark, sf):
 
 @query()
 def user_file_rejects(spark, sf):
-    """Why files were rejected; how many files a folder has is up to its writer."""
+    """Folders and reasons of rejected files; how many files a folder has is up to its writer."""
     _, rejected = user_tables.read_user_tables(spark, files.user_folder(spark, sf))
-    return rejected.filter(~F.col("arquivo").rlike("^[._]")).select("motivo").distinct()
+    return rejected.filter(~F.col("arquivo").rlike("^[._]")).groupBy("pasta", "motivo").agg(
+        (F.count(F.lit(1)) > 0).alias("arquivos"))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loadcast.functions.text import label_lower, label_upper, localized_number, user_date
 from loadcast.schema import DAY, SUB
 from loadcast.sources.sinks import cached_year, read_by_year, write_by_year, write_csv
+from loadcast.sources import user_tables
 from loadcast.sources.load import read_load
 from loadcast.sources.user_tables import (BadInput, normalize_inputs, read_user_tables, region_code,
                                           rename_columns, strict_inputs, unknown_labels)
@@ -116,3 +117,30 @@ def test_brazilian_csv(spark, tmp_path):
     write_csv(spark.createDataFrame([("N", 1.5, 2)], "a string, b double, c int").coalesce(1), path, brazilian=True)
     text = next((tmp_path / "o").glob("*.csv")).read_text()
     assert text == "a;b;c\nN;1,5;2\n"
+
+
+def test_quoted_line_breaks_over_small_splits(spark, tmp_path):
+    """Records of many lines, cut by splits of 64 bytes, equal those of Python's csv module."""
+    import csv
+    import random
+    rng, want = random.Random(4), []
+    for name, sep, code in (("a.csv", ";", "utf-8"), ("b.csv", ",", "latin-1")):
+        rows = [["regiao", "nota", "data", "temperatura"]]
+        for k in range(120):
+            note = "".join(rng.choice(['"', "\n", sep, "é", "x", " ", "\n\n"]) for _ in range(rng.randrange(9)))
+            rows.append([rng.choice(["N", "NE", "S", "SE"]), note, f"{k % 28 + 1:02d}/03/2024", str(k)])
+        with open(tmp_path / name, "w", encoding=code, newline="") as out:
+            csv.writer(out, delimiter=sep, lineterminator="\n").writerows(rows)
+        want += [(name, r[0], date(2024, 3, int(r[2][:2])), float(r[3])) for r in rows[1:]]
+    (tmp_path / "open.csv").write_text('regiao;data\nN;"01/01/2024\nS;02/01/2024\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        records, _ = user_tables.read_records(spark, str(tmp_path))
+        assert records.filter("path like '%a.csv'").agg(F.max("linha"), F.count("*")).first() == (120, 121)
+        accepted, rejected = user_tables.read_user_tables(spark, str(tmp_path))
+        got = sorted((r.arquivo, r[SUB], r[DAY], r.temp_mean) for r in accepted.collect())
+        assert [(r.arquivo, r.motivo) for r in rejected.collect()] == [("open.csv", "quotes")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(want)
