@@ -9,7 +9,7 @@ from loadcast.operators.climate import (dedup_station_days, map_station_region,
                                         station_day)
 from loadcast.operators.quality import quality_control
 from loadcast.schema import STATION, SUB
-from loadcast.sources.sinks import YEAR, cached_year, read_by_year
+from loadcast.sources.sinks import YEAR, cached_years, read_by_year
 from loadcast.sources.stations import read_stations
 
 
@@ -21,7 +21,6 @@ def year_climate(spark: SparkSession, folder: str, glob: str = "*.CSV") -> DataF
 
 def climate_of_years(spark: SparkSession, folders: dict[int, str], cache: str, glob: str = "*.CSV",
                      use_cache: bool = True) -> DataFrame:
-    """All years together. A year that was written before is not computed again."""
-    for year, folder in folders.items():
-        cached_year(spark, cache, year, lambda: year_climate(spark, folder, glob), use_cache)
+    """All years together. Only years whose files changed since they were written are computed again."""
+    cached_years(spark, cache, folders, glob, lambda year: year_climate(spark, folders[year], glob), use_cache)
     return read_by_year(spark, cache, list(folders)).withColumn(YEAR, F.col(YEAR).cast("int"))

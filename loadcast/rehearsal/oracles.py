@@ -665,3 +665,7 @@ oracle("batch_parts", "aceito industrial_pedido ajuste", f"""
 SELECT o_orderkey, {KEY}, round(intercepto + inclinacao * coalesce(industrial_mwmed, 0), 3) + 0.0 AS nivel_industrial,
        CAST(0 AS DOUBLE) AS resto
 FROM aceito LEFT JOIN industrial_pedido USING ({KEY}) JOIN ajuste USING (id_subsistema)""")
+ORACLES["published_scores"] = ORACLES["score_sheet"]
+oracle("model_registry", "treino", f"""
+SELECT id_subsistema, modo, CAST({TEST} AS INTEGER) AS ano, CAST({TEST - 1} AS INTEGER) AS ano_treino, CAST(n AS INTEGER) AS atributos
+FROM (SELECT DISTINCT id_subsistema FROM treino), {PLACES}""")

@@ -15,7 +15,7 @@ from loadcast.functions.calendar import calendar_features, is_holiday
 from loadcast.functions.text import label_lower, label_upper
 from loadcast.functions.thermal import coherent_max, coherent_min, hours_above
 from loadcast.models.level import fill_level_input, LEVEL, apply_level, fit_level, level_predictor
-from loadcast.models.trees import Package, fit_package, load_package, top_features
+from loadcast.models.trees import Package, fit_package, load_package, model_as_of, registered_models, top_features
 from loadcast.operators import grid, industrial, metrics, national, permutation, reports, series
 from loadcast.operators.climate import (dedup_station_days, map_station_region, regional_climate,
                                         station_day)
@@ -30,7 +30,7 @@ from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS
 from loadcast.session import STORE
 from loadcast.sources import load as load_source
 from loadcast.sources import user_tables
-from loadcast.sources.sinks import brazilian_text, read_by_year, write_by_year
+from loadcast.sources.sinks import brazilian_text, publish, read_by_year, read_published, write_by_year
 from loadcast.sources.stations import read_stations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -852,3 +852,23 @@ def response_steps(spark, sf):
 def batch_parts(spark, sf):
     """Every accepted row has a forecast, its level is the regression's, and the parts add up."""
     return batch_forecast(spark, sf).select("o_orderkey", SUB, DAY, LEVEL, remainder(LEVEL))
+
+
+@query()
+def model_registry(spark, sf):
+    """The model of the latest train year before the test year, for every region and mode."""
+    regions = train_rows(spark, sf).select(SUB).distinct()
+    for mode in MODES:
+        package(spark, sf, mode)
+    asked = regions.select(F.explode(F.array(*map(F.lit, MODES))).alias("modo"), SUB, F.lit(v.TEST_YEAR).alias("ano"))
+    found = model_as_of(registered_models(spark, [model_folder(spark, sf)], MODES), asked)
+    return found.select(SUB, "modo", "ano", "ano_treino", F.size("atributos").alias("atributos"))
+
+
+@query(LEVEL_DIGITS)
+def published_scores(spark, sf):
+    """Score sheet, shuffle test and error series of one job, published together and read back."""
+    root = STORE.folder(spark, sf, "results")
+    publish(spark, {"placar": score_sheet(spark, sf), "contaminacao": contamination_standin(spark, sf),
+                    "series": error_series(spark, sf)}, root)
+    return read_published(spark, root, "placar")

@@ -32,19 +32,23 @@ def sensor_number(cell: Column) -> Column:
 def read_stations(spark: SparkSession, path: str | list[str], glob: str = "*.CSV") -> DataFrame:
     """Readings (arquivo, estacao, regiao_estacao, day, sensors) of every usable file.
 
-    A file is one row until its lines are exploded: a station-year has at most 8,784 readings, so
-    one file is small, and preamble, header and column positions stay row-local. Latin-1 text is
-    decoded explicitly. A file without a known region or without temperature and humidity is
-    skipped; an optional sensor the file lacks is null.
+    Files are read as lines, a large one in as many splits as its size asks for. Lines of a split are numbered one after the
+    other, so the preamble and header are the least numbers of a file's first split (which has to hold them); they become
+    one row a file, joined back to the lines. Latin-1 text is decoded explicitly. A file without a known region or without
+    temperature and humidity is skipped; an optional sensor the file lacks is null.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(path))
-    lines = F.split(F.decode("content", "ISO-8859-1"), "\r?\n")
+    raw = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+           .select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("inicio"),
+                   F.monotonically_increasing_id().alias("ordem"), "value"))
+    first = raw.filter("inicio").groupBy("path").agg(F.min("ordem").alias("primeira"))
+    head = (raw.filter("inicio").join(first, "path").filter(F.col("ordem") <= F.col("primeira") + PREAMBLE_LINES)
+            .groupBy("path", "primeira").agg(F.array_sort(F.collect_list(F.struct("ordem", "value"))).alias("head")))
+    lines = F.transform("head.value", lambda line: F.decode(line.cast("binary"), "ISO-8859-1"))
     second = lambda line: F.trim(F.try_element_at(F.split(F.try_element_at("lines", F.lit(line)), ";"), F.lit(2)))
-    parsed = files.select("path", lines.alias("lines")).select(
-        F.element_at(F.split("path", "/"), -1).alias("arquivo"),
+    parsed = head.select("path", "primeira", lines.alias("lines")).select(
+        "path", "primeira", F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("arquivo"),
         F.upper(second(REGION_LINE)).alias("regiao_estacao"), second(CODE_LINE).alias(STATION),
-        F.split(F.try_element_at("lines", F.lit(PREAMBLE_LINES + 1)), ";").alias("header"), "lines")
+        F.split(F.try_element_at("lines", F.lit(PREAMBLE_LINES + 1)), ";").alias("header"))
     where = {s: f"pos_{s}" for s in SENSORS}
     parsed = parsed.withColumns({
         where[short]: header_position(F.col("header"), prefix)
@@ -52,10 +56,9 @@ def read_stations(spark: SparkSession, path: str | list[str], glob: str = "*.CSV
     usable = parsed.filter(F.col("regiao_estacao").isin(list(STATION_REGION_TO_SUB))
                            & F.col(STATION).isNotNull()
                            & (F.col("pos_temp") > 0) & (F.col("pos_umid") > 0))
-    first = PREAMBLE_LINES + 2
-    body = F.slice("lines", first, F.greatest(F.size("lines") - first + 1, F.lit(0)))
-    cells = usable.select("arquivo", "regiao_estacao", STATION, *where.values(),
-                          F.explode(body).alias("line")).withColumn("cells", F.split("line", ";"))
+    usable = usable.select("path", "primeira", "arquivo", "regiao_estacao", STATION, *where.values())
+    body = raw.join(usable, "path").filter(~F.col("inicio") | (F.col("ordem") > F.col("primeira") + PREAMBLE_LINES))
+    cells = body.withColumn("cells", F.split("value", ";"))
     reading = lambda s: F.when(F.col(where[s]) > 0, sensor_number(
         F.try_element_at("cells", F.greatest(F.col(where[s]).cast("int"), F.lit(1)))))
     return (cells.select("arquivo", "regiao_estacao", STATION,

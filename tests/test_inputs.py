@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.text import label_lower, label_upper, localized_number, user_date
 from loadcast.schema import DAY, SUB
-from loadcast.sources.sinks import cached_year, read_by_year, write_by_year, write_csv
+from loadcast.sources.sinks import cached_years, publish, read_by_year, read_published, write_by_year, write_csv
 from loadcast.sources import user_tables
 from loadcast.sources.load import read_load
 from loadcast.sources.user_tables import (BadInput, normalize_inputs, read_user_tables, region_code,
@@ -106,10 +106,44 @@ def test_year_partitions_and_cache(spark, tmp_path):
     write_by_year(spark.createDataFrame([(9, 2025)], "x int, ano int"), path)
     assert sorted((r.x, r.ano) for r in read_by_year(spark, path).collect()) == [(1, 2024), (9, 2025)]
     assert [r.x for r in read_by_year(spark, path, [2024]).collect()] == [1]
-    calls = []
-    build = lambda: calls.append(1) or spark.createDataFrame([(5,)], "x int")
-    cache = str(tmp_path / "c")
-    assert [cached_year(spark, cache, 2024, build).first().x for _ in range(2)] == [5, 5] and len(calls) == 1
+
+
+def test_years_are_built_again_when_their_files_change(spark, tmp_path):
+    cache, folders = str(tmp_path / "c"), {}
+    for year in (2023, 2024, 2025):
+        folder = tmp_path / f"in{year}"
+        folder.mkdir()
+        (folder / "a.txt").write_text(f"{year}\n")
+        folders[year] = str(folder)
+
+    def run(use_cache=True):
+        build = lambda year: spark.read.text(folders[year]).withColumnRenamed("value", "x")
+        years = cached_years(spark, cache, folders, "*.txt", build, use_cache)
+        return years, sorted((r.ano, r.x) for r in read_by_year(spark, cache, list(folders)).collect())
+
+    rows = [(2023, "2023"), (2024, "2024"), (2025, "2025")]
+    assert run() == ([2023, 2024, 2025], rows) and run() == ([], rows)
+    (tmp_path / "in2024" / "a.txt").write_text("2024\nmore\n")
+    rows.insert(2, (2024, "more"))
+    assert run() == ([2024], rows)
+    (tmp_path / "in2025" / "b.txt").write_text("b\n")
+    rows.append((2025, "b"))
+    assert run() == ([2025], rows)
+    (tmp_path / "in2025" / "b.txt").unlink()
+    assert run() == ([2025], rows[:-1])
+    assert run(use_cache=False) == ([2023, 2024, 2025], rows[:-1])
+
+
+def test_published_tables_change_together(spark, tmp_path):
+    root, one, two = str(tmp_path / "r"), spark.range(3), spark.range(5)
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, root, "a")
+    publish(spark, {"a": one, "b": one}, root)
+    with pytest.raises(Exception, match="broken"):
+        publish(spark, {"a": two, "b": two.select(F.raise_error(F.lit("broken")).alias("id"))}, root)
+    assert [read_published(spark, root, n).count() for n in "ab"] == [3, 3]
+    publish(spark, {"a": two, "b": two}, root)
+    assert [read_published(spark, root, n).count() for n in "ab"] == [5, 5]
 
 
 def test_brazilian_csv(spark, tmp_path):
