@@ -10,26 +10,24 @@ from loadcast.models.trees import Package
 from loadcast.operators.metrics import (MODE, PRED, baseline_predictions, bottom_up, class_gain,
                                         forecast_metrics)
 from loadcast.operators.recursive import recursive_forecast
-from loadcast.schema import AUTOREGRESSIVE, DAY, LOAD, SUB
+from loadcast.schema import DAY, LOAD, SUB
 
 
 def by_mode(predictions: DataFrame, mode: str) -> DataFrame:
     return predictions.select(SUB, DAY, LOAD, F.lit(mode).alias(MODE), PRED)
 
 
-def recursive_with_trees(package: Package, test: DataFrame) -> DataFrame:
-    """Recursive forecast of the delta model; its trees travel to the tasks as flat arrays."""
+def recursive_with_trees(package: Package, test: DataFrame, scenario: list[str] | None = None) -> DataFrame:
+    """Recursive forecast of the delta model, of every scenario; its trees travel to the tasks as flat arrays."""
     names, mode = package.features, package.mode
     shared = test.sparkSession.sparkContext.broadcast(package.trees)        # rounds x nodes x regions, fixed by settings
 
     def step(region, row):
         if region not in shared.value:
             raise ValueError(f"no fitted model for region {region} in {mode}")
-        inputs = np.array([[np.nan if row[n] is None else row[n] for n in names]], dtype=float)
-        return row["carga_ontem"] + float(shared.value[region].predict(inputs)[0])
+        return row["carga_ontem"] + shared.value[region].predict(np.column_stack([row[n] for n in names]))
 
-    exogenous = [c for c in names if c not in AUTOREGRESSIVE]
-    return recursive_forecast(test, exogenous, step)
+    return recursive_forecast(test, names, step, scenario=scenario)
 
 
 def score(predictions: DataFrame, summed_modes: list[str]) -> DataFrame:

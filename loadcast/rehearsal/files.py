@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.functions.text import decimal_comma
+from loadcast.operators.climate import regional_climate, station_day
+from loadcast.plans.dataset_job import Source
 from loadcast.rehearsal import views as v
-from loadcast.schema import DAY, STATION
+from loadcast.schema import DAY, LOAD, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES
 from loadcast.session import STORE
+from loadcast.sources.load import read_load
 from loadcast.sources.user_tables import normalize_inputs
 
 STATION_GLOB = "*.csv"
@@ -73,6 +76,43 @@ def user_folder(spark: SparkSession, sf: str) -> str:
     return _once(spark, sf, "user-folder", write)
 
 
+def write_load_year(rows: DataFrame, path: str, year: int) -> None:
+    """One year's load file, as the source has it."""
+    (rows.filter(F.year(DAY) == year).select(SUB, v.lookup(SUBSYSTEM_NAMES, F.col(SUB)).alias(SUB_NAME), DAY, LOAD)
+     .coalesce(1).write.mode("overwrite").csv(f"{path}/load/ano={year}", sep=";", header=True))
+
+
+def dataset_files(spark: SparkSession, sf: str) -> str:
+    """A folder a year of load files, of readings (every line item) and of monthly industrial consumption."""
+    def write(path: str) -> None:
+        v.readings_from_lineitem(spark, sf).withColumn("ano", F.year(DAY)).write.partitionBy("ano").parquet(f"{path}/readings")
+        v.industrial_table(spark, sf).write.partitionBy("ano").parquet(f"{path}/months")
+        for year in years_of(v.load_table(spark, sf), F.year(DAY)):
+            write_load_year(v.load_table(spark, sf), path, year)
+    return _once(spark, sf, "dataset-files", write)
+
+
+def years_of(rows: DataFrame, year) -> list[int]:
+    """The calendar years of a table."""
+    return sorted(r[0] for r in rows.select(year).distinct().collect())
+
+
+def dataset_sources(spark: SparkSession, sf: str, path: str) -> dict[str, Source]:
+    def climate(year: int) -> DataFrame:
+        readings = spark.read.parquet(f"{path}/readings/ano={year}")
+        return regional_climate(station_day(readings, [STATION], min_readings=1).join(v.supplier_subs(spark, sf), STATION))
+
+    def folders(name: str, years: list[int]) -> dict[int, str]:
+        return {y: f"{path}/{name}/ano={y}" for y in years}
+
+    loads = years_of(v.load_table(spark, sf), F.year(DAY))
+    months = years_of(v.industrial_table(spark, sf), F.col("ano"))      # readings and months have the same ship dates
+    return {"load": Source(folders("load", loads), "*.csv", lambda y: read_load(spark, f"{path}/load/ano={y}").drop(SUB_NAME)),
+            "climate": Source(folders("readings", months), "*.parquet", climate),
+            "monthly": Source(folders("months", months), "*.parquet",
+                              lambda y: spark.read.parquet(f"{path}/months/ano={y}"))}
+
+
 def _once(spark: SparkSession, sf: str, name: str, write) -> str:
     key = (spark.sparkContext.applicationId, sf, name)
     path = STORE.folder(spark, sf, name)

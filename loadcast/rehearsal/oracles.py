@@ -472,6 +472,7 @@ FLOATS = ([LOAD] + CLIMATE + DEGREES + ["n_estacoes", "industrial_mwmed", "indus
 INTS = "mes, dia_semana, trimestre, is_feriado, is_vespera_feriado, is_fds"
 oracle("model_dataset", "conjunto", f"SELECT {KEY}, ano, {INTS}, {r(FLOATS)} FROM conjunto")
 ORACLES["dataset_sink_scan"] = ORACLES["model_dataset"]
+ORACLES["dataset_changed_years"] = ORACLES["model_dataset"]
 table("limites_longos", "limites", "SELECT CAST(lo - INTERVAL 400 DAY AS DATE) AS lo, hi FROM limites")
 interpolation("_longo", "limites_longos")
 table("degrau", "antes_longo", f"""
@@ -637,6 +638,10 @@ oracle("recursive_standin", "teste", f"""
 SELECT {KEY}, round(CASE WHEN pos <= 7 THEN {LOAD} ELSE s7 + pos - 7 END, 6) + 0.0 AS previsao
 FROM (SELECT {KEY}, {LOAD}, row_number() OVER ({BY_SUB}) AS pos,
       nth_value({LOAD}, 7) OVER ({BY_SUB} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s7 FROM teste)""")
+oracle("recursive_scenarios", "teste", f"""
+SELECT {KEY}, CAST(cenario AS INTEGER) AS cenario, round(semente + (pos - 1) // 7 * cenario / 4, 6) + 0.0 AS previsao
+FROM (SELECT {KEY}, pos, first_value({LOAD}) OVER (PARTITION BY id_subsistema, pos % 7 ORDER BY pos) AS semente
+      FROM (SELECT {KEY}, {LOAD}, row_number() OVER ({BY_SUB}) AS pos FROM teste)), range(-20, 21) t(cenario)""")
 
 # what holds of the tree models whatever they learn
 oracle("climatic_parts", "previsto", f"SELECT {KEY}, round(p, 3) + 0.0 AS nivel_industrial, CAST(0 AS DOUBLE) AS resto FROM previsto")

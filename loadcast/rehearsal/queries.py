@@ -21,7 +21,7 @@ from loadcast.operators.climate import (dedup_station_days, map_station_region,
                                         station_day)
 from loadcast.operators.quality import quality_control
 from loadcast.operators.recursive import recursive_forecast
-from loadcast.plans import climate_job, dataset, scoring, serving
+from loadcast.plans import climate_job, dataset, dataset_job, scoring, serving
 from loadcast.rehearsal import files
 from loadcast.rehearsal import views as v
 from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS, INDUSTRIAL,
@@ -347,6 +347,18 @@ def model_dataset(spark, sf):
                                  v.industrial_table(spark, sf), v.TRAIN_YEAR)
 
 
+@query()
+def dataset_changed_years(spark, sf):
+    """The dataset from files, first with one year's loads wrong and incomplete, then with that year's file mended."""
+    path, root, year = files.dataset_files(spark, sf), STORE.folder(spark, sf, "dataset-years"), v.TRAIN_YEAR - 2
+    sources, right = files.dataset_sources(spark, sf, path), load_days(spark, sf)
+    wrong = right.filter(F.dayofmonth(DAY) % 3 > 0).withColumn(LOAD, F.col(LOAD) * 2)
+    for rows in (wrong, right):
+        files.write_load_year(rows, path, year)
+        built, _ = dataset_job.dataset_of_years(spark, sources, root, v.TRAIN_YEAR)
+    return built
+
+
 @query()
 def model_dataset_strict(spark, sf):
     """The leak-free variant: step level, real annual change from the first day, the nation's own change."""
@@ -655,6 +667,15 @@ def recursive_standin(spark, sf):
                               lambda region, row: row["carga_ontem"] + 1.0)
 
 
+@query()
+def recursive_scenarios(spark, sf):
+    """Recursion of every test day under 41 temperature shifts, each a series of its own."""
+    shifts = F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("cenario")
+    rows = test_rows(spark, sf).select(SUB, DAY, LOAD, shifts)
+    return recursive_forecast(rows.withColumn("passo", F.col("cenario") / 4), ["passo"],
+                              lambda region, row: row["carga_lag7"] + row["passo"], scenario=["cenario"])
+
+
 # tree models
 
 _packages: dict[tuple, Package] = {}

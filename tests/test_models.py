@@ -315,7 +315,7 @@ def test_recursion_never_reads_load_after_the_seed(spark):
     test = spark.createDataFrame(data, f"{SUB} string, {DAY} date, {LOAD} double, carga_ontem double, carga_lag7 double, media_7d double, x double")
 
     def step(region, row):
-        assert 9999.0 not in row.values() and LOAD not in row
+        assert not any((v == 9999.0).any() for v in row.values()) and LOAD not in row
         return row["carga_ontem"] + 1.0
 
     got = [r[PRED] for r in rows(recursive_forecast(test, ["x", *AUTOREGRESSIVE], step), DAY)]
@@ -324,6 +324,26 @@ def test_recursion_never_reads_load_after_the_seed(spark):
     assert rows(lagged, DAY)[7][PRED] == 200.0
 
 
+def test_scenarios_are_folded_together_and_stay_apart(spark):
+    """Scenarios of unequal length, over several slices, equal a loop over each of them."""
+    starts = {(s, k): 10.0 * k + len(s) for s in ("N", "NE") for k in range(23)}
+    data = [(s, k, d, v + i * i % 5 if i < 7 else -1.0, float(i * k % 11)) for (s, k), v in starts.items()
+            for i, d in enumerate(days("2025-01-01", 9 + k % 6))]
+    test = spark.createDataFrame(data, f"{SUB} string, cenario int, {DAY} date, {LOAD} double, x double")
+    got = recursive_forecast(test, ["x"], lambda region, row: row["carga_lag7"] + row["media_7d"] / 7 + row["x"] - row["carga_ontem"] / 3,
+                             scenario=["cenario"], rows_per_slice=60)
+    assert {r.fatia for r in got.select(F.spark_partition_id().alias("fatia")).distinct().collect()} != {0}
+    want = {}
+    for key, v in starts.items():
+        own = [r for r in data if r[:2] == key]
+        out = [r[3] for r in own[:7]]
+        for r in own[7:]:
+            out.append(out[-7] + np.mean(out[-7:]) / 7 + r[4] - out[-1] / 3)
+        want |= {(*key, r[2]): o for r, o in zip(own, out)}
+    found = {(r[SUB], r.cenario, r[DAY]): r[PRED] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_recursion_checks_its_seed(spark):
     short = spark.createDataFrame([("N", d, None if i == 3 else 1.0, 0.0) for i, d in enumerate(days("2025-01-01", 10))],
                                   f"{SUB} string, {DAY} date, {LOAD} double, x double")
