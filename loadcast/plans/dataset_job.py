@@ -21,6 +21,7 @@ from loadcast.operators.national import load_shares, national_rows
 from loadcast.operators.series import by_sub
 from loadcast.plans.dataset import add_features, join_panel
 from loadcast.schema import DAY, NATIONAL, PUBLICATION_LAG_MONTHS, SUB, SUBSYSTEMS
+from loadcast.session import settle
 from loadcast.sources.sinks import MANIFEST, YEAR, cached_years, changed_years, manifest, read_by_year, write_by_year
 
 LAG_ROWS = 7
@@ -124,8 +125,8 @@ def dataset_of_years(spark: SparkSession, sources: dict[str, Source], root: str,
     Other settings than before need another ``root``.
     """
     built_from, path = f"{root}/manifest", f"{root}/dataset"
-    now = reduce(DataFrame.unionByName, [manifest(spark, s.folders, s.glob).withColumn(SOURCE, F.lit(name))
-                                         for name, s in sources.items()])
+    now = settle(reduce(DataFrame.unionByName, [manifest(spark, s.folders, s.glob).withColumn(SOURCE, F.lit(name))
+                                                for name, s in sources.items()]))
     try:
         old = spark.read.schema(f"{MANIFEST}, {SOURCE} string").parquet(built_from)
         old.limit(1).collect()

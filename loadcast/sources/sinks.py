@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcast.functions.text import decimal_comma
+from loadcast.session import settle
 
 YEAR = "ano"
 
@@ -51,10 +52,10 @@ def cached_years(spark: SparkSession, path: str, folders: dict[int, str], glob:
                  build: Callable[[int], DataFrame], use_cache: bool = True) -> list[int]:
     """Builds the years whose input files are not those that they were last built from; returns these years.
 
-    A year's manifest is written after its rows, so a build that fails is done again.
+    The manifest is written after the rows, so a build that fails is done again.
     """
     written = f"{path}/_manifest"
-    now = manifest(spark, folders, glob)
+    now = settle(manifest(spark, folders, glob))
     try:
         old = spark.read.schema(MANIFEST).parquet(written).filter(F.col(YEAR).isin(list(folders)))
     except AnalysisException as error:
@@ -64,7 +65,8 @@ def cached_years(spark: SparkSession, path: str, folders: dict[int, str], glob:
     years = changed_years(old, now) if use_cache else sorted(folders)
     for year in years:
         build(year).write.mode("overwrite").parquet(f"{path}/{YEAR}={year}")
-        (now.filter(F.col(YEAR) == year).repartition(1).write.mode("overwrite")
+    if years:
+        (now.filter(F.col(YEAR).isin(years)).repartition(YEAR).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(YEAR).parquet(written))
     return years
 

@@ -1,5 +1,6 @@
 """The dataset kept by year: after any change of the files it equals the full build."""
 
+import uuid
 from datetime import date, timedelta
 
 import pandas as pd
@@ -18,7 +19,7 @@ def noise(*columns):
 
 
 @pytest.fixture()
-def inputs(spark):
+def inputs(spark, tmp_path):
     days = spark.createDataFrame([(s, date(2018, 1, 1) + timedelta(i)) for s in SUBSYSTEMS for i in range(4 * 365 + 1)],
                                  f"{SUB} string, {DAY} date").withColumn("ano", F.year(DAY))
     # a gap over a turn of the year in one region, so that lags and national rows reach far back
@@ -26,7 +27,13 @@ def inputs(spark):
     climate = days.select(SUB, DAY, "ano", *[noise(SUB, DAY, F.lit(c)).alias(c) for c in CLIMATE_DAILY],
                           F.lit(3.0).alias("n_estacoes")).filter(F.dayofyear(DAY) % 50 > 0)
     monthly = days.groupBy(SUB, "ano", F.month(DAY).alias("mes")).agg((F.sum(noise(SUB, DAY)) + 1).alias("industrial_mwh"))
-    return {"load": load, "climate": climate, "monthly": monthly}
+    return {name: kept(table, tmp_path) for name, table in {"load": load, "climate": climate, "monthly": monthly}.items()}
+
+
+def kept(table, tmp_path):
+    path = str(tmp_path / uuid.uuid4().hex)
+    table.coalesce(1).write.parquet(path)
+    return table.sparkSession.read.parquet(path)
 
 
 def write(tables, path, names, years):
@@ -65,7 +72,8 @@ def test_changed_years_equal_a_full_build(spark, inputs, tmp_path, mode, run_up)
     assert run()[1] == []
 
     def check(name, year, change, expected):
-        inputs[name] = inputs[name].filter(F.col("ano") != year).unionByName(change(inputs[name].filter(F.col("ano") == year)))
+        rest, own = inputs[name].filter(F.col("ano") != year), inputs[name].filter(F.col("ano") == year)
+        inputs[name] = kept(rest.unionByName(change(own)), tmp_path)
         write(inputs, path, [name], [year])
         rows, built = run()
         assert built == expected
