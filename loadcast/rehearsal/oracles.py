@@ -457,6 +457,13 @@ oracle("thermal_inertia", "conjunto", f"""
 SELECT {KEY}, {r('amplitude_termica graus_refrig_med3 temp_mean_ontem')} FROM conjunto WHERE id_subsistema <> 'SIN'""")
 oracle("fill_both_ways", "dias_todos carga", f"""
 SELECT {KEY}, round({filled(LOAD)}, 6) + 0.0 AS {LOAD} FROM dias_todos LEFT JOIN carga USING ({KEY})""")
+oracle("carry_readings", "leitura", f"""
+SELECT event_id, din_instante, estacao, round({filled('precip', 'PARTITION BY estacao ORDER BY din_instante, event_id')}, 6) + 0.0 AS precip
+FROM leitura""")
+oracle("reading_medians", "item", """
+SELECT id_subsistema, sensor, round(median(valor), 6) + 0.0 AS mediana
+FROM (UNPIVOT (SELECT id_subsistema, temp, umid, rad, vento, precip FROM item)
+      ON temp, umid, rad, vento, precip INTO NAME sensor VALUE valor) GROUP BY 1, 2""")
 oracle("calendar_columns", "", f"""
 SELECT o_orderkey, din_instante, mes, dia_semana, trimestre, ano, is_feriado, is_vespera_feriado, is_fds,
        {r('dia_ano_sen dia_ano_cos')} FROM
@@ -666,8 +673,11 @@ oracle("project_year_days", "teste", f"""
 SELECT {NAME} AS regiao, id_subsistema, CAST(366 AS BIGINT) AS dias, DATE '{TEST}-01-01' AS de, DATE '{TEST}-12-31' AS ate,
        count(*) AS dias_do_arquivo, 366 - count(*) AS dias_estimados FROM teste GROUP BY 1, 2""")
 oracle("response_steps", "varredura", f"SELECT {KEY}, passo, round(t, 6) + 0.0 AS temp_mean FROM varredura")
+oracle("input_positions", "aceito", f"""
+SELECT o_orderkey, {KEY}, row_number() OVER (ORDER BY din_instante, o_orderkey) AS posicao FROM aceito""")
 oracle("batch_parts", "aceito industrial_pedido ajuste", f"""
-SELECT o_orderkey, {KEY}, round(intercepto + inclinacao * coalesce(industrial_mwmed, 0), 3) + 0.0 AS nivel_industrial,
+SELECT o_orderkey, {KEY}, row_number() OVER (ORDER BY o_orderkey) AS posicao,
+       round(intercepto + inclinacao * coalesce(industrial_mwmed, 0), 3) + 0.0 AS nivel_industrial,
        CAST(0 AS DOUBLE) AS resto
 FROM aceito LEFT JOIN industrial_pedido USING ({KEY}) JOIN ajuste USING (id_subsistema)""")
 ORACLES["published_scores"] = ORACLES["score_sheet"]

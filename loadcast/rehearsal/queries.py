@@ -16,7 +16,7 @@ from loadcast.functions.text import label_lower, label_upper
 from loadcast.functions.thermal import coherent_max, coherent_min, hours_above
 from loadcast.models.level import fill_level_input, LEVEL, apply_level, fit_level, level_predictor
 from loadcast.models.trees import Package, fit_package, load_package, model_as_of, registered_models, top_features
-from loadcast.operators import grid, industrial, metrics, national, permutation, reports, series
+from loadcast.operators import grid, industrial, metrics, national, permutation, reports, series, spread
 from loadcast.operators.climate import (dedup_station_days, map_station_region, regional_climate,
                                         station_day)
 from loadcast.operators.quality import quality_control
@@ -27,7 +27,7 @@ from loadcast.rehearsal import views as v
 from loadcast.schema import (AUTOREGRESSIVE, CLIMATE_INPUTS, DAY, FEATURE_GROUPS, INDUSTRIAL,
                              LOAD, SEED_DAYS, STATION, SUB, SUB_NAME, SUBSYSTEM_NAMES, SUBSYSTEMS,
                              mode_features)
-from loadcast.session import STORE
+from loadcast.session import STORE, written
 from loadcast.sources import load as load_source
 from loadcast.sources import user_tables
 from loadcast.sources.sinks import brazilian_text, publish, read_by_year, read_published, write_by_year
@@ -327,6 +327,28 @@ def fill_both_ways(spark, sf):
     return rows.select(SUB, DAY, series.fill_both_ways(F.col(LOAD)).alias(LOAD))
 
 
+@query()
+def carry_readings(spark, sf):
+    """Rain of every reading of a station: the last one known, else the first, over series split by day."""
+    rows = v.readings_from_events(spark, sf).select("event_id", DAY, STATION, "precip")
+    return spread.carry_long(rows, [STATION], DAY, [DAY, "event_id"], "precip")
+
+
+@query()
+def reading_medians(spark, sf):
+    """Exact medians of all line-item readings of a region, by sensor."""
+    rows = v.readings_from_lineitem(spark, sf).join(v.supplier_subs(spark, sf), STATION)
+    sensors = ["temp", "umid", "rad", "vento", "precip"]
+    return spread.exact_medians(rows.unpivot([SUB], sensors, "sensor", "mediana"), [SUB, "sensor"], "mediana")
+
+
+@query()
+def input_positions(spark, sf):
+    """Places of all accepted user rows by day and key, written in another order and read back."""
+    placed = spread.dense_positions(order_inputs(spark, sf).select("o_orderkey", SUB, DAY), [DAY, "o_orderkey"])
+    return written(placed.repartition(SUB))
+
+
 @query()
 def calendar_columns(spark, sf):
     """Calendar features of every order day, straight from the raw order rows."""
@@ -781,7 +803,8 @@ def batch_forecast(spark, sf):
     climatic = package(spark, sf, "climatico")
     rows = serving.forecast(climatic.fitted(order_inputs(spark, sf)), climatic, v.medians_table(spark, sf),
                             v.industrial_table(spark, sf), validated=True)
-    return rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS).orderBy("o_orderkey")
+    chosen = rows.select("o_orderkey", reports.REGION, *FORECAST_COLUMNS)
+    return spread.dense_positions(chosen, ["o_orderkey"]).orderBy("posicao")
 
 
 @query()
@@ -872,7 +895,7 @@ def response_steps(spark, sf):
 @query(LEVEL_DIGITS)
 def batch_parts(spark, sf):
     """Every accepted row has a forecast, its level is the regression's, and the parts add up."""
-    return batch_forecast(spark, sf).select("o_orderkey", SUB, DAY, LEVEL, remainder(LEVEL))
+    return batch_forecast(spark, sf).select("o_orderkey", SUB, DAY, "posicao", LEVEL, remainder(LEVEL))
 
 
 @query()
