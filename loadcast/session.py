@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,16 @@ def build_session(app: str = "loadcast", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where that is unset, a folder in the warehouse.
 
-    Both are shared by the driver and all executors, unlike a temporary folder.
+    Both are shared by the driver and all executors, unlike a temporary folder. A warehouse on the machine's own disk is
+    refused, unless all tasks run on this machine.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loadcast-shared"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if urlsplit(warehouse).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} is unset and the warehouse {warehouse} is not shared with the executors")
+    return f"{warehouse.rstrip('/')}/loadcast-shared"
 
 
 def written(df: DataFrame, by: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from statistics import median
 import pytest
 
 from loadcast.operators.spread import carry_long, dense_positions, exact_medians
+from loadcast.session import shared_folder
 
 
 def test_positions_are_dense_and_survive_a_write(spark, tmp_path):
@@ -46,3 +47,25 @@ def test_carry_equals_a_loop(spark):
             last = x if x is not None else last
             assert got[(k, i)] == (last if last is not None else first)
     assert len(got) == len(data)
+
+
+class Session:
+    """The settings of a session on a cluster."""
+
+    def __init__(self, master, **conf):
+        self.conf = self.sparkContext = self
+        self.master, self.settings = master, {"spark.sql.warehouse.dir": "file:/home/me/warehouse", **conf}
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("spark://host:7077"))
+    assert shared_folder(Session("local[8]")) == "file:/home/me/warehouse/loadcast-shared"
+    assert shared_folder(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs://a/w/"})) == "hdfs://a/w/loadcast-shared"
+    assert shared_folder(Session("yarn", **{"spark.checkpoint.dir": "file:/mnt/shared"})) == "file:/mnt/shared"
