@@ -1,6 +1,7 @@
 """Every operator on documents against plain Python, over one fixture of odd rows and the smallest table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -242,6 +243,80 @@ def test_licenses_with_edits(spark):
     assert rows[2].labels == "" and rows[3].labels == "gpl-2"
 
 
+def plain_licenses(words):
+    """Labels of the method's own and the best cover, by nested loops over one text's words."""
+    labels, best = set(), 0.0
+    for label, text in licenses.TEMPLATES:
+        template = text.split()
+        k = 2 if 4 <= len(template) <= 10 else 3
+        n_grams, diagonals = len(template) - k + 1, defaultdict(list)
+        for place in range(n_grams):
+            for at in range(len(words) - k + 1):
+                if words[at:at + k] == template[place:place + k]:
+                    diagonals[at - place].append((at, place))
+        chains = []
+        for d in sorted(diagonals):
+            if chains and d - chains[-1][-1] <= 4:
+                chains[-1].append(d)
+            else:
+                chains.append([d])
+        for group in [[d] for d in diagonals] + chains:
+            seen = [hit for d in group for hit in diagonals[d]]
+            covered = len({place for _, place in seen}) / n_grams
+            best = max(best, covered)
+            span = words[min(at for at, _ in seen):max(at for at, _ in seen) + k]
+            told = [list(dict.fromkeys(w for w in part if w in licenses.TELLING)) for part in (span, template)]
+            if covered >= 0.6 and (told[0] == told[1] or not told[1]):
+                labels.add(label)
+    return labels, best
+
+
+def test_licenses_with_random_edits(spark):
+    """Labels and scores as nested loops find them, on notices and passages with words put in, dropped and exchanged."""
+    draw = random.Random(5)
+    extra = "the terms of new lesser affero license version 2 3 under mit public and not licensed".split()
+    texts = []
+    for _ in range(300):
+        words = []
+        for _ in range(draw.randrange(1, 4)):
+            words += draw.choices(extra, k=draw.randrange(5))
+            one = draw.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(draw.randrange(4)):
+                k = draw.randrange(len(one))
+                one[k:k + draw.randrange(2)] = draw.choices(extra, k=draw.randrange(3))
+                one = one or ["mit"]
+            words += one
+        texts.append(words)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    labelled = 0
+    for r in licenses.scan(docs).collect():
+        own, best = plain_licenses(texts[r.doc_id])
+        assert set(filter(None, r.labels.split(","))) == own | set(filter(None, r.base_labels.split(",")))
+        assert r.score == pytest.approx(max(best, float(r.n_base > 0)))
+        labelled += bool(own)
+    assert labelled > 100
+
+
+NOTICES = [
+    ("licensed under the terms of the GNU General Public License version 3", "gpl-3"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-3"),
+    ("it is licensed under the new mit license.", "mit"),
+    ("Released under the terms of the MIT license", "mit"),
+    ("licensed under the GNU Lesser General Public License, version 3", "lgpl-3"),
+    ("under the terms of the GNU Lesser General Public License version 2.1", "lgpl-2.1"),
+    ("licensed under the GNU Affero General Public License version 3", "agpl-3"),
+    ("licensed under the GNU library General Public License version 2", ""),
+    ("licensed under CC BY-SA 4.0", "cc-by-sa"), ("licensed under CC BY 4.0", "cc-by"),
+    ("licensed under cc0, licensed under the mit license", "mit"),
+    ("licensed under a new contract, and the general public gave license to version 3", ""),
+]
+
+
+def test_license_notices(spark):
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == {k: labels for k, (_, labels) in enumerate(NOTICES)}
+
+
 def test_shards(docs):
     tree = sharding.even_tree()
     rows = sharding.shard(docs, tree, sharding.with_new_shard(tree)).collect()
