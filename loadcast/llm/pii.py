@@ -2,7 +2,8 @@
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers in fixed forms, and long hexadecimal
 identifiers. Every other word with enough digits is a candidate. Each seed and candidate stands in a lexical
-pattern: the two words before it and what is glued to it. Patterns and instances form a graph. In every
+pattern: the two whole words before it and what is glued to it, where a seed or candidate is a word of its
+own. Candidates hold five digits or more, so an identifier without digits is not found. Patterns and instances form a graph. In every
 round a pattern's confidence in a kind is the share of its distinct instances that are known to be of that kind,
 and a candidate's confidence is that of its best confident pattern; it then counts for further patterns.
 The candidates of the last round are the spans that the seeds alone do not find.
@@ -16,6 +17,7 @@ one; ``find`` ignores other columns, ``redact`` keeps them, whatever their names
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -41,7 +43,9 @@ HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{
 CANDIDATE = re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z](?:[0-9A-Za-z.@_+()/-]*[0-9A-Za-z])?")
 CANDIDATE_DIGITS = 5
 DIGIT = re.compile(r"[0-9]")
-BEFORE = 80
+GLUE = "\"'=:(<[{#"
+#: Longer patterns and instances are known by their digest; nothing of them is cut.
+KEY_CHARS = 200
 
 SPAN = "struct<kind: int, start: int, end: int>"
 FOUND = f"base array<{SPAN}>, seen array<struct<kind: int, start: int, end: int, pattern: string, instance: string>>"
@@ -61,10 +65,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
         start = done + len(text[done:at].rstrip(LOCAL_PART))
-        if start < at and (m := DOMAIN.match(text, at + 1)):
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
             spans.append((0, start, m.end()))
-            done = m.end()
-        at = text.find("@", max(at + 1, done))
+        # no local part reaches back over an @, so none is looked at twice
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     if DIGIT.search(text):
         spans += [(1, *m.span()) for m in IP.finditer(text) if all(
             len(d := p.lstrip("0") or "0") < 4 and int(d) < 256 for p in m[0].split("."))]
@@ -78,12 +84,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans, key=lambda s: (s[1], s[0]))
 
 
-def lexical_pattern(text: str, start: int) -> str:
-    """The two words before a place, and what is glued to it; digits are not part of a pattern."""
-    before = text[max(0, start - BEFORE):start]
-    glued = before[len(before.rstrip("\"'=:(<[{#")):]
-    words = before[:len(before) - len(glued)].split()[-2:]
-    return DIGIT.sub("0", " ".join([*words, "_" + glued]).lower())
+def identity(text: str) -> str:
+    return text if len(text) <= KEY_CHARS else hashlib.sha256(text.encode()).hexdigest()
+
+
+def with_patterns(text: str, seen: list) -> list:
+    """(kind, start, end, pattern, instance) of the places in ``seen``, which are ordered by their start.
+
+    A pattern is the last two words before the place and what is glued to it; digits are not part of it. A place is a
+    word itself, so every stretch between two places is read once. Overlapping places stand behind the same words.
+    """
+    rows, words, done, stop = [], [], 0, 0
+    for kind, start, end in seen:
+        if start >= stop:                              # the former places are words now
+            if stop > done:
+                words = (words + text[done:stop].split())[-2:]
+            between = text[stop:start]
+            plain = between.rstrip(GLUE)
+            before, done = (words + plain.rsplit(None, 2)[-2:])[-2:], start
+            glued, words = between[len(plain):], (words + between.rsplit(None, 2)[-2:])[-2:]
+        pattern = DIGIT.sub("0", " ".join([*before, "_" + glued]).lower())
+        rows.append((kind, start, end, identity(pattern), identity(text[start:end].lower())))
+        stop = max(stop, end)
+    return rows
+
+
+def clear_of(taken: list[tuple[int, int]], matches):
+    """The matches that overlap no span of ``taken``; both are ordered by start."""
+    k = 0
+    for m in matches:
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
+            yield m
 
 
 def sightings(text: str) -> tuple[list, list]:
@@ -92,22 +125,11 @@ def sightings(text: str) -> tuple[list, list]:
     if not base and not DIGIT.search(text):
         return [], []
     taken = [(s, e) for _, s, e in base]
-    seen = list(base)
-    for m in HEX.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in taken):
-            seen.append((4, *m.span()))
-            taken.append(m.span())
-    taken.sort()
-    k = 0
-    for m in CANDIDATE.finditer(text):
-        if sum("0" <= c <= "9" for c in m[0]) < CANDIDATE_DIGITS:
-            continue
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k < len(taken) and taken[k][0] < m.end():
-            continue
-        seen.append((-1, *m.span()))
-    return base, [(kind, s, e, lexical_pattern(text, s), text[s:e].lower()) for kind, s, e in seen]
+    own = [(4, *m.span()) for m in clear_of(taken, HEX.finditer(text))]
+    taken = sorted([*taken, *((s, e) for _, s, e in own)])
+    rich = (m for m in CANDIDATE.finditer(text) if sum("0" <= c <= "9" for c in m[0]) >= CANDIDATE_DIGITS)
+    free = [(-1, *m.span()) for m in clear_of(taken, rich)]
+    return base, with_patterns(text, sorted([*base, *own, *free], key=lambda s: (s[1], s[0])))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -152,7 +174,7 @@ def bootstrap(scanned: DataFrame, support: int = SUPPORT, confident: float = CON
     patterns = stage(_confident(known, pairs, support, confident), "patterns")
     for _ in range(rounds - 1):
         guessed = (pairs.join(patterns, "pattern").groupBy("instance")
-                   .agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
+                   .agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
                    .join(seeds, "instance", "left_anti"))
         known = stage(seeds.union(guessed), "known-instances")
         patterns = stage(_confident(known, pairs, support, confident), "patterns")

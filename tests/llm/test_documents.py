@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -480,6 +481,94 @@ def test_patterns_find_what_seeds_miss(spark):
     assert clean[10] == "other words, phone number <PHONE> thanks" and clean[12] == texts[12]
 
 
+def plain_patterns(text):
+    """Kind, place, pattern and instance of every seed and candidate, by reading all of the text before each place."""
+    base, seen = pii.sightings(text)
+    rows = []
+    for kind, start, end, _, _ in seen:
+        # places before this one that do not overlap it or another place that does stand as words
+        group = start
+        while any(s < group < e for _, s, e, _, _ in seen):
+            group = min(s for _, s, e, _, _ in seen if s < group < e)
+        before = text[:group]
+        cuts = sorted({c for _, s, e, _, _ in seen if e <= group for c in (s, e)})
+        cuts = [c for c in cuts if not any(s < c < e for _, s, e, _, _ in seen)]
+        parts = [before[a:b] for a, b in zip([0, *cuts], [*cuts, len(before)])]
+        tail = parts[-1].rstrip(pii.GLUE)
+        words = [w for part in [*parts[:-1], tail] for w in part.split()]
+        rows.append((kind, start, end, re.sub("[0-9]", "0", " ".join(
+            [*words[-2:], "_" + parts[-1][len(tail):]]).lower()), text[start:end].lower()))
+    return rows
+
+
+PATTERN_TEXTS = [
+    "call me: phone number +1 (212) 555-0199, or 4111 1111 1111 1111 then 20245", "id=12345/67890, key=\"99999\" #88888",
+    f"{'long' * 20}word {'x' * 150} 1234567 and 7654321", "a@b.cd 10.0.0.1.2.3.4 +1.2.3.4.55.66.77 123456", "12345 12345=12345==12345",
+    "deadbeef" * 5 + "1 then " + "deadbeef" * 5 + "2", "no digits here", "123456",
+]
+
+
+def test_patterns_of_places(small):
+    for text in [*PATTERN_TEXTS, *(r.text for r in small.collect())]:
+        want = [(k, s, e, pii.identity(p), pii.identity(i)) for k, s, e, p, i in plain_patterns(text or "")]
+        assert pii.sightings(text or "")[1] == want
+
+
+def test_long_texts_without_white_space_cost_their_length():
+    begin = time.process_time()
+    pii.sightings("@" * 300_000)
+    pii.sightings("12345=" * 60_000)
+    pii.sightings(("deadbeef01" * 4 + ":") * 10_000 + "x" * 1_000_000 + " 1234567")
+    assert time.process_time() - begin < 20
+
+
+def plain_bootstrap(texts):
+    """The spans that the graph adds, in dictionaries."""
+    sights = [(row, *s) for row, text in enumerate(texts) for s in pii.sightings(text or "")[1]]
+    pairs = {(p, i) for _, _, _, _, p, i in sights}
+    seeds = {}
+    for _, kind, _, _, _, i in sights:
+        if kind >= 0:
+            seeds[i] = (min(kind, seeds.get(i, (kind,))[0]), 1.0)
+    known = seeds
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for pattern in {p for p, _ in pairs}:
+            mine = [i for p, i in pairs if p == pattern]
+            for kind in range(len(pii.KINDS)):
+                scores = [known[i][1] for i in mine if i in known and known[i][0] == kind]
+                if len(scores) >= pii.SUPPORT and sum(scores) / len(mine) >= pii.CONFIDENT:
+                    patterns[pattern] = (sum(scores) / len(mine), -kind)
+        known = dict(seeds)
+        for i in {i for _, i in pairs} - set(seeds):
+            best = max((patterns[p] for p, j in pairs if j == i and p in patterns), default=None)
+            if best:
+                known[i] = (-best[1], best[0])
+    found = {(row, -patterns[p][1], s, e) for row, kind, s, e, p, _ in sights if kind < 0 and p in patterns}
+    return found | {(row, kind, s, e) for row, kind, s, e, _, _ in sights if kind == 4}
+
+
+def test_pattern_graph(spark):
+    """Chains of patterns and instances over three rounds, ties between kinds, patterns short of support or confidence."""
+    draw = random.Random(3)
+    heads = ["phone number", "my card", "server at", "order no", "see page", "ticket id"]
+    texts = []
+    for _ in range(240):
+        seed = draw.choice([f"+1 (212) 555-{draw.randrange(40):04d}", f"10.0.{draw.randrange(9)}.{draw.randrange(30)}",
+                            "4111 1111 1111 1111", f"{draw.randrange(60) + 2125550100}", f"{draw.randrange(25) + 70000}"])
+        kind = 0 if seed[0] == "+" else 2 if seed[:3] == "10." else 1 if seed[0] == "4" else draw.randrange(6)
+        texts.append(f"some text {heads[kind if draw.random() < 0.9 else draw.randrange(6)]}: {seed} ends")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, added = plain_bootstrap(texts), 0
+    for r in pii.find(docs).collect():
+        mine = plain_spans(texts[r.doc_id])
+        more = [(pii.KINDS[k], s, e) for row, k, s, e in want if row == r.doc_id]
+        order = sorted([*mine, *more], key=lambda s: (s[1], pii.KINDS.index(s[0])))
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in order)
+        added += len(more)
+    assert added > 10
+
+
 #: Names that the operators give to columns of their own.
 CLASHES = ("bits _bits root _root nth _nth size rows copies taken again _again _row row base seen more spans kind start "
            "doc part rank_in_part length key bucket shard slot words hashes template found component_id").split()
