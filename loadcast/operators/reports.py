@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.text import lookup
@@ -110,26 +110,28 @@ def season_context(days: DataFrame, history: DataFrame,
                    half_width: int = SEASON_HALF_WIDTH) -> DataFrame:
     """Load and temperature statistics around each asked day of the year, else of all history.
 
-    History is first reduced to sums per day of the year; the neighbourhood is an equi-join on
-    expanded days instead of a range join.
+    History is first reduced to sums per day of the year, at most 366 rows a region, and the asked days are put among
+    them as rows without values. A window over the number of the day gives the neighbourhood, so no row is
+    repeated and nothing that is shuffled grows with the width. The window is not circular.
     """
-    per_doy = history.groupBy(SUB, F.dayofyear(DAY).alias("vizinho")).agg(
+    sums = [F.sum("s").alias("s"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.sum("ts").alias("ts"), F.sum("tc").alias("tc"), F.sum("n").alias("n")]
+    per_doy = history.groupBy(SUB, F.dayofyear(DAY).alias("dia_ano")).agg(
         F.sum(LOAD).alias("s"), F.count(LOAD).alias("c"), F.min(LOAD).alias("lo"),
         F.max(LOAD).alias("hi"), F.sum("temp_mean").alias("ts"), F.count("temp_mean").alias("tc"),
         F.count(F.lit(1)).alias("n"))
-
-    def stats(table, keys):
-        return table.groupBy(*keys).agg(
-            F.try_divide(F.sum("s"), F.sum("c")).alias("carga_media"),
-            F.min("lo").alias("carga_min"), F.max("hi").alias("carga_max"),
-            F.try_divide(F.sum("ts"), F.sum("tc")).alias("temp_media"), F.sum("n").alias("n_dias"))
-
-    fields = ["carga_media", "carga_min", "carga_max", "temp_media", "n_dias"]
-    near = stats(_season_days(days, half_width).join(per_doy, [SUB, "vizinho"]), [SUB, "dia_ano"])
-    whole = stats(per_doy, [SUB]).select(SUB, *[F.col(c).alias(f"all_{c}") for c in fields])
-    context = (days.select(SUB, F.dayofyear(DAY).alias("dia_ano")).distinct()
-               .join(near, [SUB, "dia_ano"], "left").join(whole, SUB, "left"))
-    empty = F.col("n_dias").isNull()
+    asked = days.select(SUB, F.dayofyear(DAY).alias("dia_ano")).distinct().withColumn("pedido", F.lit(True))
+    placed = per_doy.unionByName(asked, allowMissingColumns=True).groupBy(SUB, "dia_ano").agg(
+        *sums, F.bool_or("pedido").alias("pedido"))
+    fields = {"carga_media": lambda w: F.try_divide(F.sum("s").over(w), F.sum("c").over(w)),
+              "carga_min": lambda w: F.min("lo").over(w), "carga_max": lambda w: F.max("hi").over(w),
+              "temp_media": lambda w: F.try_divide(F.sum("ts").over(w), F.sum("tc").over(w)),
+              "n_dias": lambda w: F.sum("n").over(w)}
+    whole = Window.partitionBy(SUB)
+    near = whole.orderBy("dia_ano").rangeBetween(-half_width, half_width)
+    context = placed.select(SUB, "dia_ano", "pedido", *[f(near).alias(c) for c, f in fields.items()],
+                            *[f(whole).alias(f"all_{c}") for c, f in fields.items()]).where("pedido")
+    empty = F.col("n_dias").isNull() | F.col("dia_ano").isNull()
     return context.select(SUB, "dia_ano", *[
         F.when(empty, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in fields])
 

@@ -1,6 +1,6 @@
 """Lags, national aggregate, industrial level, climatology, completion and reports on literals."""
 
-from datetime import date
+from datetime import date, timedelta
 from math import asin, pi
 
 import pytest
@@ -312,6 +312,27 @@ def test_season_context_falls_back_to_all_history(spark):
     assert (far["n_dias"], far["carga_media"]) == (30, 14.5)
 
 
+@pytest.mark.parametrize("width", [0, 3, 10, 200])
+def test_season_context_by_nested_loops(spark, width):
+    """Two regions with gaps, repeated days, missing loads and days asked outside; nothing is expanded."""
+    past = [(s, date(2022 + k % 3, 1, 1) + timedelta(days=(k * 37) % 300), None if k % 9 == 4 else float(k % 50), k % 7 * 1.0)
+            for s in ("N", "SE") for k in range(120 if s == "N" else 15)]
+    asked = [("N", date(2025, 1, 1) + timedelta(days=k)) for k in range(0, 365, 11)] + [
+        ("SE", date(2024, 12, 31)), ("SE", date(2025, 4, 7)), ("N", None)]
+    got = reports.season_context(spark.createDataFrame(asked, f"{SUB} string, {DAY} date"), spark.createDataFrame(
+        past, f"{SUB} string, {DAY} date, {LOAD} double, temp_mean double"), width)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    doy = lambda d: d.timetuple().tm_yday
+    want = set()
+    for sub, day in asked:
+        region = [r for r in past if r[0] == sub]
+        near = [r for r in region if day and abs(doy(r[1]) - doy(day)) <= width] or region
+        loads = [r[2] for r in near if r[2] is not None]
+        want.add((sub, day and doy(day), round(sum(loads) / len(loads), 6) if loads else None, min(loads, default=None),
+                  max(loads, default=None), round(sum(r[3] for r in near) / len(near), 6), len(near)))
+    assert {(r[0], r[1], r[2] and round(r[2], 6), r[3], r[4], round(r[5], 6), r[6]) for r in got.collect()} == want
+
+
 def test_histogram_keeps_every_day(spark):
     past = ramp(spark, 12, 1.0, "N")
     asked = spark.createDataFrame([("N", date(2025, 1, 5))], f"{SUB} string, {DAY} date")
