@@ -21,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: by SimHash, then 5-word Jaccard similarity of 0.8 or more."""
     return shingles.keep_one(docs, words_in_shingle=5, similarity=0.8)
 
 

@@ -1,13 +1,17 @@
-"""Near copies by word shingles: min-hash bands for candidates, then the exact Jaccard similarity.
+"""Near copies by word shingles: SimHash fingerprints and pigeonhole blocks, exact Hamming distance, exact Jaccard similarity.
 
 Two texts are linked if the sets of their word shingles have a Jaccard similarity of at least ``similarity``. Texts of the
-same words have the same key, so exact copies are folded first. The smallest values of 120 hash functions over a text's
-shingles make 24 bands of 5; texts that share a band meet. At a similarity of 0.8 a pair misses all bands with a
-chance of 7 in 100,000, at 0.9 with less than one in 10^9. Candidates are compared on their whole shingle sets, so
-nothing below ``similarity`` is linked.
-
-Bands that hold the same texts are compared once. A band's texts are compared in one task by an index of their
-shingles, which returns links that keep its components, not its pairs.
+same words have the same key, so exact copies are folded first. Every distinct text has several independently seeded
+64-bit SimHash fingerprints of its shingles, as op 3 has one: a bit is set where over half of the hashes have it.
+
+* The fingerprints are cut into blocks, and texts that agree on a block meet. At the similarity asked for, a bit differs
+  with the chance that ``flip_chance`` gives (0.15 at 0.8), so ``layout`` takes as many blocks as let a pair miss all of
+  them once in 100,000. A block is as wide as keeps about ``GROUP`` texts together by chance; more texts, wider blocks.
+* Texts that meet are compared by the exact Hamming distance of their first 256 bits, whose limit lies five standard
+  deviations above what ``similarity`` gives. What is within it, directly or by others, is a family.
+* The texts of a family are compared on their whole shingle sets, by an index of their shingles, in one task, so nothing
+  below ``similarity`` is linked. Links that keep components are kept, never the pairs of a group; every text
+  travels once.
 
 Defined cases: words are split at ASCII white space and A-Z are lowered; texts without words (null, empty, white space)
 are copies of each other; fewer words than a shingle are one shingle; of a component the row with the smallest ``doc_id``
@@ -16,6 +20,8 @@ is kept, nulls last; an empty table gives an empty one; other columns, whatever
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +31,30 @@ from pyspark.sql import types as T
 from . import components
 from .common import spare, stage
 
-BANDS, ROWS = 24, 5
 SEED = 42
-_RANDOM = np.random.default_rng(SEED)
-FLIPS, FACTORS = (_RANDOM.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1))
-MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+#: 64-bit fingerprints that are compared exactly.
+CHECKED = 4
+#: Texts that share a block by chance, about; chance that a pair shares none; standard deviations of the limits.
+GROUP, MISSED, SPREAD = 2048, 1e-5, 5
+_CELLS = 1 << 16
+
+
+def flip_chance(similarity: float) -> float:
+    """Chance that a bit differs between sets of this Jaccard similarity; the angle is widest for equal sizes."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(rows: int, similarity: float) -> tuple[int, int, int]:
+    """Blocks, bits of a block, and 64-bit fingerprints that hold them."""
+    width = max(6, math.ceil(math.log2(max(rows, 1) / GROUP)))
+    blocks = math.ceil(math.log(MISSED) / math.log1p(-min((1 - flip_chance(similarity)) ** width, 1 - MISSED)))
+    return blocks, width, max(CHECKED, -(-blocks * width // 64))
+
+
+def distance_limit(bits: int, similarity: float) -> int:
+    """The Hamming distance of ``bits`` bits up to which texts are candidates."""
+    p = flip_chance(similarity)
+    return int(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_hashes(text: bytes, words_in_shingle: int = 5) -> tuple[int, np.ndarray]:
@@ -48,13 +73,50 @@ def shingle_hashes(text: bytes, words_in_shingle: int = 5) -> tuple[int, np.ndar
     return digest(joined, SEED), np.unique(hashes)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the smallest values."""
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for begin in range(0, len(hashes), 512):
-        np.minimum(low, ((hashes[begin:begin + 512] ^ FLIPS) * FACTORS).min(axis=1), out=low)
-    keys = ((low.reshape(BANDS, ROWS) >> np.uint64(7)) * MIX).sum(axis=1, dtype=np.uint64)
-    return (keys ^ (keys >> np.uint64(31))) * MIX[:, 0]
+def fingerprints(hashes: np.ndarray, number: int) -> np.ndarray:
+    """``number`` SimHash fingerprints of a set, each by hashes of a seed of its own."""
+    total = np.zeros(64 * number, np.int64)
+    seeds = np.arange(number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for begin in range(0, len(hashes), 255):
+        mixed = hashes[begin:begin + 255, None] + seeds
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+
+
+def block_keys(prints: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """A key for each block of each row of fingerprints: the block's number and its bits."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, :blocks * width]
+    values = bits.reshape(len(prints), blocks, width) @ (1 << np.arange(width, dtype=np.int64))
+    return values + (np.arange(blocks, dtype=np.int64) << width)
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member's place) after joining the components of ``a`` and ``b``."""
+    while (label[a] != label[b]).any():
+        label = label.copy()
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def families(prints: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of the components of all rows within the limit of each other; memory is bounded by the rows."""
+    label, (first, second) = np.arange(len(prints)), prints[:, :2].T.copy()
+    soon, limit = distance_limit(128, similarity), distance_limit(64 * prints.shape[1], similarity)
+    step = max(1, _CELLS // len(prints))
+    for begin in range(0, len(prints), step):
+        bits = np.bitwise_count(first[begin:begin + step, None] ^ first[begin:])
+        bits += np.bitwise_count(second[begin:begin + step, None] ^ second[begin:])
+        i, j = np.nonzero(bits <= soon)
+        i, j = i + begin, j + begin
+        apart = (i < j) & (label[i] != label[j])
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= limit
+        label = _merged(label, i[near], j[near])
+    return label
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -87,78 +149,103 @@ def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return found
 
 
-def _with_bands(docs: DataFrame, node: str, keys: str, words_in_shingle: int) -> DataFrame:
+def _with_fingerprints(docs: DataFrame, node: str, prints: str, number: int, words_in_shingle: int) -> DataFrame:
     place = docs.columns.index("text")
 
     def compute(batches):
         for batch in batches:
-            nodes, all_keys = [], []
+            nodes, found = [], []
             for text in batch.column(place).cast(pa.binary()):
                 own, hashes = shingle_hashes(text.as_py() or b"", words_in_shingle)
                 nodes.append(own)
-                all_keys.append(bands(hashes))
-            flat = np.concatenate([np.zeros(0, np.uint64), *all_keys]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+                found.append(fingerprints(hashes, number).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], names=names)
+                [*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.binary())],
+                names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(node, T.LongType()),
-                           T.StructField(keys, T.ArrayType(T.LongType()))])
+                           T.StructField(prints, T.BinaryType())])
     names = schema.names
     return docs.mapInArrow(compute, schema)
 
 
-def _link_groups(words_in_shingle: int, similarity: float):
-    """Links of every key, for rows ``key, node, text`` sorted by key."""
+def _groups(batches, columns: int):
+    """The groups of rows sorted by their first column, as lists of arrays of the other columns."""
+    key, held = None, []
+    for batch in batches:
+        keys, *others = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns))
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(bounds, bounds[1:]):
+            if begin == end:
+                continue
+            if held and keys[begin] != key:
+                yield [np.concatenate(parts) for parts in zip(*held)]
+                held = []
+            key = keys[begin]
+            held.append([column[begin:end] for column in others])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
 
-    def link(batches):
-        key, nodes, sets = None, [], []
 
-        def close() -> list[tuple[int, int]]:
-            return [(nodes[i], nodes[j]) for i, j in linked(sets, similarity)] if len(nodes) > 1 else []
+def _stars(nodes: np.ndarray, label: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A link from every node to the first of its component."""
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=names)
 
+
+def candidates(distinct: DataFrame, similarity: float, blocks: int, width: int) -> DataFrame:
+    """Edges ``a, b`` that keep the families of ``distinct`` (``node, prints``; written)."""
+
+    def spread(batches):
         for batch in batches:
-            edges = []
-            for own_key, node, text in zip(*(batch.column(k) for k in range(3))):
-                if (own_key := own_key.as_py()) != key:
-                    edges += close()
-                    key, nodes, sets = own_key, [], []
-                nodes.append(node.as_py())
-                sets.append(shingle_hashes((text.as_py() or "").encode(), words_in_shingle)[1])
-            yield batch_of(edges)
-        yield batch_of(close())
-
-    def batch_of(edges):
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)],
-                                          names=["a", "b"])
-
-    return link
-
-
-def links(texts: DataFrame, distinct: DataFrame, words_in_shingle: int, similarity: float) -> DataFrame:
-    """Edges ``a, b`` between nodes. ``texts``: ``row, text``; ``distinct``: ``node, row, keys``; both written."""
-    keyed = distinct.select("node", "row", F.posexplode("keys").alias("band", "key")).select(
-        "node", "row", F.xxhash64("band", "key").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"),
-                                      F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
-    once = stage(shared.groupBy("n", "all", "a", "b").agg(F.min("key").alias("key")).select("key"), "shared-bands")
-    members = stage(keyed.join(once, "key"), "band-members")
-    rows = members.join(texts, "row").select("key", "node", "text")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _link_groups(words_in_shingle, similarity), "a long, b long")
+            if not batch.num_rows:
+                continue
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            keys = block_keys(prints, blocks, width).ravel()
+            nodes, *checked = (np.repeat(column, blocks) for column in (
+                batch.column(0).to_numpy(), *prints.view(np.int64)[:, :CHECKED].T))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, nodes, *checked)], names=names)
+
+    def link(batches):
+        for nodes, *checked in _groups(batches, CHECKED + 2):
+            if len(nodes) > 1:
+                yield _stars(nodes, families(np.stack(checked, axis=1).view(np.uint64), similarity), ["a", "b"])
+
+    names = ["key", "node", *(f"print{k}" for k in range(CHECKED))]
+    met = distinct.select("node", "prints").mapInArrow(spread, ", ".join(f"{n} long" for n in names))
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+
+
+def _confirmed(words_in_shingle: int, similarity: float):
+    """``node, root`` of the texts linked to another, for rows ``family, node, text`` sorted by family."""
+
+    def confirm(batches):
+        for nodes, texts in _groups(batches, 3):
+            sets = [shingle_hashes((text or "").encode(), words_in_shingle)[1] for text in texts]
+            found = np.array(linked(sets, similarity), np.int64).reshape(-1, 2)
+            yield _stars(nodes, _merged(np.arange(len(nodes)), *found.T), ["node", "root"])
+
+    return confirm
 
 
 def keep_one(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each component of near copies, unchanged: the one with the smallest ``doc_id``."""
-    row, node, keys = (spare(name, docs) for name in ("row", "node", "keys"))
-    marked = stage(_with_bands(docs, node, keys, words_in_shingle).withColumn(
-        row, F.monotonically_increasing_id()), "banded")
+    """One row of each component of near copies, unchanged: the one with the smallest ``doc_id``.
+
+    ``docs`` is counted first, for the width of the blocks.
+    """
+    row, node, prints = (spare(name, docs) for name in ("row", "node", "prints"))
+    blocks, width, number = layout(docs.count(), similarity)
+    marked = stage(_with_fingerprints(docs, node, prints, number, words_in_shingle).withColumn(
+        row, F.monotonically_increasing_id()), "fingerprinted")
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"),
                     F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
-    distinct = stage(marked.groupBy(F.col(node).alias("node"), F.col(keys).alias("keys")).agg(
-        F.min(rank).alias("best")).select("node", "keys", "best", F.col("best.row").alias("row")), "distinct-texts")
-    root = components.roots(links(marked.select(F.col(row).alias("row"), "text"), distinct, words_in_shingle,
-                                  similarity))
+    distinct = stage(marked.groupBy(F.col(node).alias("node"), F.col(prints).alias("prints")).agg(
+        F.min(rank).alias("best")).select("node", "prints", "best", F.col("best.row").alias("row")), "distinct-texts")
+    family = components.roots(candidates(distinct, similarity, blocks, width)).withColumnRenamed("root", "family")
+    texts = marked.select(F.col(row).alias("row"), "text")
+    members = family.join(distinct.select("node", "row"), "node").join(texts, "row").select("family", "node", "text")
+    root = members.repartition("family").sortWithinPartitions("family").mapInArrow(
+        _confirmed(words_in_shingle, similarity), "node long, root long")
     named = distinct.select("node", "best").join(root, "node", "left")
     kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return marked.join(kept.select(F.col("best.row").alias(row)), row, "left_semi").select(docs.columns)
