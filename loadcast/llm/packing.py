@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import slices, tokenizer
+from .tokens import CHUNKS_KEPT, SLICE_BYTES, slices, tokenizer
 
 CAPACITY = 2048
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, "
@@ -98,13 +98,17 @@ def fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0,
-                 capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """The pieces of every text, numbered within their length in each partition; ``ids`` may be left null."""
+                 capacity: int = CAPACITY, with_ids: bool = True, chunks_kept: int = CHUNKS_KEPT,
+                 slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The pieces of every text, numbered within their length in each partition; ``ids`` may be left null.
+
+    ``chunks_kept`` and ``slice_bytes`` bound a worker's memory, never the result.
+    """
 
     def cut(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        library = tokenizer(tokenizer_path)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        library = tokenizer(tokenizer_path, chunks_kept)
+        for batch in (s for b in batches for s in slices(b, "text", slice_bytes)):
             flat, counts = library.encode(batch.column("text"))
             stop, rows = 0, []
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
@@ -118,6 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0,
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
+        pa.default_memory_pool().release_unused()
 
     names = [c.split()[0] for c in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
@@ -159,7 +164,9 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0,
-                   capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+                   capacity: int = CAPACITY, with_ids: bool = True, chunks_kept: int = CHUNKS_KEPT,
+                   slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents with their ids and places."""
-    packed = pack(stage(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer_path, end_id, capacity, with_ids, chunks_kept, slice_bytes)
+    packed = pack(stage(pieces, "pieces"), capacity)
     return packed if with_ids else packed.drop("ids")

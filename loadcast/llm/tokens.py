@@ -137,9 +137,9 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, chunks_kept: int = CHUNKS_KEPT) -> ChunkTokenizer:
     """One tokenizer for each vocabulary in a Python worker."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, chunks_kept)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
