@@ -9,9 +9,10 @@ same words have the same key, so exact copies are folded first. Every distinct t
   them once in 100,000. A block is as wide as keeps about ``GROUP`` texts together by chance; more texts, wider blocks.
 * Texts that meet are compared by the exact Hamming distance of their first 256 bits, whose limit lies five standard
   deviations above what ``similarity`` gives. What is within it, directly or by others, is a family.
-* The texts of a family are compared on their whole shingle sets, by an index of their shingles, in one task, so nothing
-  below ``similarity`` is linked. Links that keep components are kept, never the pairs of a group; every text
-  travels once.
+* The texts of a family are compared on their whole shingle sets, by an index of their shingles, so nothing below
+  ``similarity`` is linked. Links that keep components are kept, never the pairs of a group. A family of up to ``PART``
+  texts is compared in one task, and its texts travel once. A larger one is cut into parts, and every two parts meet in a
+  task of their own: no task grows with a family, but its texts travel once for each other part.
 
 Defined cases: words are split at ASCII white space and A-Z are lowered; texts without words (null, empty, white space)
 are copies of each other; fewer words than a shingle are one shingle; of a component the row with the smallest ``doc_id``
@@ -36,6 +37,8 @@ SEED = 42
 CHECKED = 4
 #: Texts that share a block by chance, about; chance that a pair shares none; standard deviations of the limits.
 GROUP, MISSED, SPREAD = 2048, 1e-5, 5
+#: Texts of a family that are compared in one task, about (twice as many of a larger family).
+PART = 500
 _CELLS = 1 << 16
 
 
@@ -216,14 +219,26 @@ def candidates(distinct: DataFrame, similarity: float, blocks: int, width: int)
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
 
 
+def in_parts(family: DataFrame, part: int) -> DataFrame:
+    """``key, node``: groups of at most about ``2 * part`` nodes in which every two nodes of a ``family`` meet."""
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(part)).alias("parts"))
+    own, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.col("other")
+    met = family.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return met.where((F.col("parts") == 1) | (other != F.col("own"))).select(
+        F.xxhash64("family", F.least("own", other), F.greatest("own", other)).alias("key"), "node")
+
+
 def _confirmed(words_in_shingle: int, similarity: float):
-    """``node, root`` of the texts linked to another, for rows ``family, node, text`` sorted by family."""
+    """Edges ``a, b`` that keep the components of every group, for rows ``key, node, text`` sorted by key."""
 
     def confirm(batches):
         for nodes, texts in _groups(batches, 3):
+            if len(nodes) == 1:
+                continue
             sets = [shingle_hashes((text or "").encode(), words_in_shingle)[1] for text in texts]
             found = np.array(linked(sets, similarity), np.int64).reshape(-1, 2)
-            yield _stars(nodes, _merged(np.arange(len(nodes)), *found.T), ["node", "root"])
+            yield _stars(nodes, _merged(np.arange(len(nodes)), *found.T), ["a", "b"])
 
     return confirm
 
@@ -243,9 +258,10 @@ def keep_one(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8
         F.min(rank).alias("best")).select("node", "prints", "best", F.col("best.row").alias("row")), "distinct-texts")
     family = components.roots(candidates(distinct, similarity, blocks, width)).withColumnRenamed("root", "family")
     texts = marked.select(F.col(row).alias("row"), "text")
-    members = family.join(distinct.select("node", "row"), "node").join(texts, "row").select("family", "node", "text")
-    root = members.repartition("family").sortWithinPartitions("family").mapInArrow(
-        _confirmed(words_in_shingle, similarity), "node long, root long")
+    members = (in_parts(family, PART).join(distinct.select("node", "row"), "node").join(texts, "row")
+               .select("key", "node", "text"))
+    root = components.roots(members.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _confirmed(words_in_shingle, similarity), "a long, b long"))
     named = distinct.select("node", "best").join(root, "node", "left")
     kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return marked.join(kept.select(F.col("best.row").alias(row)), row, "left_semi").select(docs.columns)

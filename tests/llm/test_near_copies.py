@@ -104,3 +104,26 @@ def test_no_path_beside_simhash(spark, sf, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()}
     assert kept >= plain_kept(rows) and len(kept) > len(plain_kept(rows))
     assert kept == set(first.values())
+
+
+def test_every_two_of_a_family_meet_in_a_bounded_group(spark):
+    sizes = {7: 2, 8: 100, 9: 101, 10: 1500}
+    rows = [(1000 * 10 * f + k, f) for f, n in sizes.items() for k in range(n)]
+    met = shingles.in_parts(spark.createDataFrame(rows, "node long, family long"), 100).collect()
+    groups = {}
+    for r in met:
+        groups.setdefault(r.key, []).append(r.node)
+    assert max(map(len, groups.values())) <= 300 and all(len(set(g)) == len(g) for g in groups.values())
+    pairs = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    assert len(pairs) == sum(n * (n - 1) // 2 for n in sizes.values())
+    assert sum(r.node < 90_000 for r in met) == 102
+
+
+def test_a_family_in_parts_is_linked_like_a_whole_one(spark, monkeypatch):
+    """A chain of texts, each near only to the next ones, and copies of one text, by parts of three texts."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [" ".join(words[4 * k:4 * k + 200]) for k in range(40)] + [" ".join([*words[::-1], f"end{k}"]) for k in range(30)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "PART", 3)
+    want = plain_kept(docs.collect())
+    assert {r.doc_id for r in shingles.keep_one(docs).collect()} == want and 0 < len(want) < 20
