@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadcast.session import settle, written
 
-RANGE, LINE, BEFORE = "_faixa", "_linha", "_antes"
+RANGE, LINE, BEFORE, HEAD = "_faixa", "_linha", "_antes", "_inicio"
 BUCKETS = 1024
 
 
@@ -74,18 +74,20 @@ def carry_long(df: DataFrame, keys: list[str], chunk: str, order: list[str], col
     """Fills gaps of a series with its last known value, else with its first one, however long the series is.
 
     ``chunk`` splits a series along its order (a day, a month), so it must never fall along it. Only one row a chunk, its first
-    and last known value, is in a window over the whole series; rows are in windows over their chunk.
+    and last known value, is in a window over the whole series; rows are in windows over their chunk. What a chunk starts with,
+    the last value known before it, else the series' first one, is a row before its others, so each window runs forward
+    once: a frame up to a window's end is summed anew for each row, with the square of its rows.
     """
     known = F.col(column).isNotNull()
     place = F.struct(*order)
     ends = df.groupBy(*keys, chunk).agg(F.min_by(F.when(known, F.col(column)), F.when(known, place)).alias("_first"),
                                         F.max_by(F.when(known, F.col(column)), F.when(known, place)).alias("_last"))
     along = Window.partitionBy(*keys).orderBy(chunk)
-    past, future = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(*keys, chunk, F.last("_last", ignorenulls=True).over(past).alias("_past"),
-                          F.first("_first", ignorenulls=True).over(future).alias("_future"))
-    within = Window.partitionBy(*keys, chunk).orderBy(*order)
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = ends.select(*keys, chunk, F.lit(True).alias(HEAD), F.coalesce(
+        F.last("_last", ignorenulls=True).over(past), F.first("_first", ignorenulls=True).over(whole)).alias(column))
+    rows = df.withColumn(HEAD, F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    within = Window.partitionBy(*keys, chunk).orderBy(F.desc(HEAD), *order)
     here = F.last(column, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    next_here = F.first(column, ignorenulls=True).over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    joined = join_groups(df, carried, [*keys, chunk])
-    return joined.withColumn(column, F.coalesce(here, "_past", next_here, "_future")).drop("_past", "_future")
+    return rows.withColumn(column, here).filter(~F.col(HEAD)).drop(HEAD)

@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadcast.operators.spread import carry_long, dense_positions, exact_medians
 from loadcast.session import shared_folder
@@ -49,6 +51,20 @@ def test_carry_equals_a_loop(spark):
     assert len(got) == len(data)
 
 
+def test_carry_reads_a_long_chunk_and_a_long_series_once(spark):
+    """A frame that ends after its row is summed anew for each row: 200,000 missing values were 20 billion steps."""
+    n = 200_000
+    late = F.when(F.col("i") == n - 1, 7.0)
+    rows = spark.range(2 * n).select((F.col("id") >= n).alias("k"), (F.col("id") % n).alias("i")).withColumn("x", late)
+    rows = rows.withColumn("c", F.when(F.col("k"), F.col("i")).otherwise(F.lit(0)))     # a chunk of n rows, n chunks of one
+    filled = carry_long(rows, ["k"], "c", ["i"], "x")
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, (\S+),", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    assert filled.columns == rows.columns
+    assert [tuple(r) for r in filled.groupBy("k", "x").count().orderBy("k").collect()] == [(False, 7.0, n), (True, 7.0, n)]
+
+
 class Session:
     """The settings of a session on a cluster."""
 
